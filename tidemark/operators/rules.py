@@ -118,7 +118,8 @@ def rule_table(spark, rules: Sequence[LabelRule], units: Sequence[Units] = ()) -
     rows = []
     for r in rules:
         b = r.bounds
-        rows += [(c, r.label, b.low, b.low_closed, b.high, b.high_closed, unit_of.get(c))
+        low, high = (None if x is None else float(x) for x in (b.low, b.high))
+        rows += [(c, r.label, low, b.low_closed, high, b.high_closed, unit_of.get(c))
                  for c in r.codes]
     code_type = "string" if isinstance(rows[0][0], str) else "bigint"
     return spark.createDataFrame(

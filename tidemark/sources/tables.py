@@ -37,12 +37,16 @@ def empty_like(spark: SparkSession, name: str) -> DataFrame:
 
 
 def ensure_table(spark: SparkSession, name: str, build: Build, rebuild: bool = False,
-                 partition_by: Sequence[str] = ()) -> DataFrame:
-    """Create a derived table if it is absent (or on request) and read it."""
+                 partition_by: Sequence[str] = (), path: str | None = None) -> DataFrame:
+    """Create a derived table if it is absent (or on request) and read it.
+
+    ``path`` places its files outside the warehouse.
+    """
     if rebuild:
         drop_table(spark, name)
     if not table_exists(spark, name):
-        build().write.mode("ignore").partitionBy(*partition_by).saveAsTable(name)
+        writer = build().write.mode("ignore").partitionBy(*partition_by)
+        (writer.option("path", path) if path else writer).saveAsTable(name)
     return spark.table(name)
 
 
