@@ -8,23 +8,31 @@ from pyspark.sql import functions as F
 HOUR_MICROS = 3_600_000_000
 
 
-def epoch_seconds(ts: Column) -> Column:
-    """Seconds since 1970-01-01, without a detour through the session zone."""
-    return F.timestamp_diff("SECOND", F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'"), ts)
+def seconds_between(start: Column, end: Column) -> Column:
+    """Whole seconds (truncated towards zero).
+
+    Interval arithmetic stays zone-free; the ``timestampdiff`` family would first
+    place both sides in the session zone and bend around its clock changes.
+    """
+    return (end - start).cast("bigint")
 
 
 def micros_between(start: Column, end: Column) -> Column:
-    return F.timestamp_diff("MICROSECOND", start, end)
+    return ((end - start).cast("decimal(20,6)") * F.lit(1_000_000)).cast("bigint")
+
+
+def epoch_seconds(ts: Column) -> Column:
+    return seconds_between(F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'"), ts)
 
 
 def whole_hours(start: Column, end: Column) -> Column:
     """Completed hours from ``start`` to ``end`` (truncated towards zero)."""
-    return F.timestamp_diff("HOUR", start, end)
+    return int_div(seconds_between(start, end), 3600)
 
 
 def fractional_hours(start: Column, end: Column) -> Column:
     """Whole seconds from ``start`` to ``end``, expressed in hours as a double."""
-    return F.timestamp_diff("SECOND", start, end) / F.lit(3600.0)
+    return seconds_between(start, end) / F.lit(3600.0)
 
 
 def shift_seconds(ts: Column, seconds: Column | int) -> Column:

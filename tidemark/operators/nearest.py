@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.times import epoch_seconds, int_div, whole_hours
+from ..functions.times import epoch_seconds, int_div, micros_between, whole_hours
 from .sweep import sweep, with_chunk
 
 
@@ -68,7 +68,7 @@ def best_event_per_entity(pairs: DataFrame, entity: str, duration: str, event: s
     then the earlier end.  A minimum over a ranking struct, so it combines before
     the shuffle and no entity is gathered.
     """
-    late = F.timestamp_diff("MICROSECOND", F.col(stop), F.col(event))
+    late = micros_between(F.col(stop), F.col(event))
     late = F.when(late >= 0, late)
     rank = F.struct((-F.col(duration)).alias("d"), late.isNull().alias("none"),
                     F.coalesce(late, F.lit(0)).alias("late"), F.col(event).alias("e"),
