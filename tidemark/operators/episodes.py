@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.times import fractional_hours
-from .sweep import sweep, with_chunk
+from .sweep import CHUNK, join_back, sweep, with_chunk
 
 
 def episode_marks(flags: DataFrame, entity: str, ts: str, on: str, alt: str, end: str,
@@ -21,25 +21,69 @@ def episode_marks(flags: DataFrame, entity: str, ts: str, on: str, alt: str, end
     active row lies more than ``gap_hours`` back (exactly that long continues).
     Rows at one time are ordered by end, on, alt.  Adds ``opens`` and
     ``episode_no``, which is NULL for rows neither on nor ending.
+
+    Only two rows of a time chunk depend on earlier chunks: its first active row
+    (was the last one an end?) and its first on-row (how long is the gap?).  So
+    the chunk summary can complete its own count of openings from the carried
+    end flag and on-time, and one pass along the chunks yields both the lookback
+    and the running count.
     """
+    keys = [entity, CHUNK]
+    order = [ts, end, on, alt]
     rows = flags.select(entity, ts, on, alt, end)
     if not keep_null_keys:
         rows = rows.filter(F.col(entity).isNotNull())
-    active = (F.col(on) == 1) | (F.col(end) == 1)
-    looked = sweep(
-        with_chunk(rows, ts, chunk_hours), [entity], [ts, end, on, alt],
-        before={"_prev_on": F.when(F.col(on) == 1, F.col(ts)),
-                "_prev_end": F.when(active, F.col(end))},
-        null_safe=keep_null_keys)
-    opens = (F.when(active & (F.col("_prev_end") == 1), 1)
-             .when((F.col(on) == 0) & (F.col(alt) == 1), 1)
-             .when((F.col(on) == 1)
-                   & (fractional_hours(F.col("_prev_on"), F.col(ts)) > gap_hours), 1)
-             .otherwise(0))
-    counted = sweep(looked.withColumn("opens", opens), [entity], [ts],
-                    totals={"_openings": F.col("opens")}, null_safe=keep_null_keys)
-    return counted.select(entity, ts, on, alt, end, "opens",
-                          F.when(active, F.col("_openings")).alias("episode_no"))
+    is_on = F.col(on) == 1
+    active = is_on | (F.col(end) == 1)
+
+    def no_null(test):
+        return F.coalesce(test, F.lit(False))
+
+    def long_gap(since, until):
+        return no_null(fractional_hours(F.col(since), F.col(until)) > gap_hours)
+
+    earlier_here = (Window.partitionBy(*keys).orderBy(*order)
+                    .rowsBetween(Window.unboundedPreceding, -1))
+    looked = with_chunk(rows, ts, chunk_hours).select(
+        "*",
+        F.last(F.when(is_on, F.col(ts)), True).over(earlier_here).alias("_last_on"),
+        F.last(F.when(active, F.col(end)), True).over(earlier_here).alias("_last_end"))
+    staged = looked.select(
+        *rows.columns, CHUNK,
+        (no_null(active & (F.col("_last_end") == 1)) | no_null((F.col(on) == 0) & (F.col(alt) == 1))
+         | (is_on & long_gap("_last_on", ts))).cast("int").alias("_known"),
+        (active & F.col("_last_end").isNull()).alias("_first_active"),
+        (is_on & F.col("_last_on").isNull()).alias("_first_on"))
+
+    summary = staged.groupBy(*keys).agg(
+        F.sum("_known").alias("_openings"),
+        F.max(F.when(is_on, F.col(ts))).alias("_on_hi"),
+        F.min(F.when(is_on, F.col(ts))).alias("_on_lo"),
+        F.max(F.when(active, F.struct(*order))).alias("_tail"),
+        F.max(F.when(F.col("_first_active"), F.col("_known"))).alias("_active_known"),
+        F.max(F.when(F.col("_first_on"), F.col("_known"))).alias("_on_known"),
+        F.max(F.when(F.col("_first_on"), F.col("_first_active").cast("int"))).alias("_same"))
+    along = Window.partitionBy(entity).orderBy(CHUNK)
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
+    carried = summary.select(
+        "*", F.last("_on_hi", True).over(before).alias("_prev_on"),
+        F.last(F.col("_tail")[end], True).over(before).alias("_prev_end"))
+    by_end = no_null((F.col("_active_known") == 0) & (F.col("_prev_end") == 1))
+    by_gap = no_null(F.col("_on_known") == 0) & long_gap("_prev_on", "_on_lo")
+    added = (F.when(no_null(F.col("_same") == 1), (by_end | by_gap).cast("int"))
+             .otherwise(by_end.cast("int") + by_gap.cast("int")))
+    carried = carried.withColumn("_all", F.col("_openings") + added).select(
+        *keys, "_prev_on", "_prev_end",
+        F.coalesce(F.sum("_all").over(before), F.lit(0)).alias("_offset"))
+
+    tied_here = (Window.partitionBy(*keys).orderBy(ts)
+                 .rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    opens = ((F.col("_known") == 1)
+             | (F.col("_first_active") & no_null(F.col("_prev_end") == 1))
+             | (F.col("_first_on") & long_gap("_prev_on", ts))).cast("int")
+    opened = join_back(staged, carried, keys, keep_null_keys).withColumn("opens", opens)
+    count = F.col("_offset") + F.sum("opens").over(tied_here)
+    return opened.select(*rows.columns, "opens", F.when(active, count).alias("episode_no"))
 
 
 def episodes(flags: DataFrame, entity: str, ts: str, on: str, alt: str, end: str,

@@ -41,8 +41,9 @@ def suggest_chunk_hours(df: DataFrame, entity: Sequence[str], ts: str,
     return max(probe_hours * target_rows / busiest, 1.0 / 3600.0)
 
 
-def _back_on(rows: DataFrame, carried: DataFrame, keys: Sequence[str],
-             null_safe: bool) -> DataFrame:
+def join_back(rows: DataFrame, carried: DataFrame, keys: Sequence[str],
+              null_safe: bool = False) -> DataFrame:
+    """Attach per-chunk values to the rows of the chunk."""
     if not null_safe:
         return rows.join(carried, list(keys))
     renamed = carried.withColumnsRenamed({k: f"_r_{k}" for k in keys})
@@ -103,7 +104,7 @@ def sweep(df: DataFrame, entity: Sequence[str], order: Sequence[str],
 
     rows = df.select("*", *local)
     summary = df.groupBy(*keys).agg(*chunk_aggs).select(*keys, *carried)
-    return _back_on(rows, summary, keys, null_safe).select(*df.columns, *final)
+    return join_back(rows, summary, keys, null_safe).select(*df.columns, *final)
 
 
 def anchors(df: DataFrame, entity: Sequence[str], ts: str, columns: Sequence[str],
