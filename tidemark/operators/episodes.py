@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.times import fractional_hours
-from .sweep import CHUNK, join_back, sweep, with_chunk
+from .sweep import CHUNK, join_back, keyed_rows, sweep, with_chunk
 
 
 def episode_marks(flags: DataFrame, entity: str, ts: str, on: str, alt: str, end: str,
@@ -31,8 +31,6 @@ def episode_marks(flags: DataFrame, entity: str, ts: str, on: str, alt: str, end
     keys = [entity, CHUNK]
     order = [ts, end, on, alt]
     rows = flags.select(entity, ts, on, alt, end)
-    if not keep_null_keys:
-        rows = rows.filter(F.col(entity).isNotNull())
     is_on = F.col(on) == 1
     active = is_on | (F.col(end) == 1)
 
@@ -44,7 +42,8 @@ def episode_marks(flags: DataFrame, entity: str, ts: str, on: str, alt: str, end
 
     earlier_here = (Window.partitionBy(*keys).orderBy(*order)
                     .rowsBetween(Window.unboundedPreceding, -1))
-    looked = with_chunk(rows, ts, chunk_hours).select(
+    placed = with_chunk(rows, ts, chunk_hours)
+    looked = (placed if keep_null_keys else keyed_rows(placed, keys)).select(
         "*",
         F.last(F.when(is_on, F.col(ts)), True).over(earlier_here).alias("_last_on"),
         F.last(F.when(active, F.col(end)), True).over(earlier_here).alias("_last_end"))

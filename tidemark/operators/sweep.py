@@ -41,6 +41,18 @@ def suggest_chunk_hours(df: DataFrame, entity: Sequence[str], ts: str,
     return max(probe_hours * target_rows / busiest, 1.0 / 3600.0)
 
 
+def keyed_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows whose keys are all known.
+
+    The join back drops the others anyway.  Saying so at the source gives both
+    of its sides the same input, so that Spark shuffles it once.
+    """
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    return df.filter(known)
+
+
 def join_back(rows: DataFrame, carried: DataFrame, keys: Sequence[str],
               null_safe: bool = False) -> DataFrame:
     """Attach per-chunk values to the rows of the chunk."""
@@ -102,8 +114,9 @@ def sweep(df: DataFrame, entity: Sequence[str], order: Sequence[str],
         carried.append(_FACTS[how](f"_s_{name}").over(whole).alias(name))
         final.append(F.col(name))
 
-    rows = df.select("*", *local)
-    summary = df.groupBy(*keys).agg(*chunk_aggs).select(*keys, *carried)
+    base = df if null_safe else keyed_rows(df, keys)
+    rows = base.select("*", *local)
+    summary = base.groupBy(*keys).agg(*chunk_aggs).select(*keys, *carried)
     return join_back(rows, summary, keys, null_safe).select(*df.columns, *final)
 
 
@@ -136,7 +149,7 @@ def anchors(df: DataFrame, entity: Sequence[str], ts: str, columns: Sequence[str
         return F.when(s.isNotNull(),
                       F.struct((s["pos"] + F.col("_offset")).alias("pos"), s["v"].alias("v")))
 
-    placed = df.withColumn(POS, F.row_number().over(up).cast("bigint"))
+    placed = keyed_rows(df, keys).withColumn(POS, F.row_number().over(up).cast("bigint"))
     summary = placed.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"),
         *[F.max(known(c)).alias(f"{c}__last") for c in columns],

@@ -78,8 +78,10 @@ def training_table(features: DataFrame, names: Sequence[str], total_hours: float
     means = ft.population_mean(features, kept)
     if fill == "population":
         return ft.align_and_fill(near, keys, kept, means), means, kept
-    own = ft.label_means(features, kept).withColumnsRenamed({n: f"_m_{n}" for n in kept})
-    table = near.join(own, "label").select(
+    own = (ft.nearest_segments(ft.label_means(features, kept), total_hours, seg_hours)
+           .withColumnsRenamed({n: f"_m_{n}" for n in kept}))
+    # One row per label, and no more labels than segments in total_hours.
+    table = near.join(F.broadcast(own), "label").select(
         *keys, *[F.coalesce(n, f"_m_{n}").alias(n) for n in kept])
     return table, means, kept
 

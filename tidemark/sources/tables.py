@@ -93,13 +93,16 @@ def padded_id(prefix: str, number: Column, width: int = 6) -> Column:
 
 
 def write_by_bucket(df: DataFrame, path: str, entity: str, buckets: int = 256,
-                    mode: str = "overwrite") -> None:
+                    files_per_bucket: int = 8, mode: str = "overwrite") -> None:
     """One table for all entities, partitioned by a hash bucket of the entity.
 
-    A reader of one entity prunes to its bucket with ``bucket_of``.  Files of a
-    bucket split where a long entity makes it large.
+    A reader of one entity prunes to its bucket.  Each bucket is written by
+    ``files_per_bucket`` tasks, so neither a long entity nor many small files
+    come of it; raise the number where one entity holds much of the data.
     """
-    (df.withColumn("bucket", bucket_of(F.col(entity), buckets))
+    part = F.pmod(F.xxhash64(*df.columns), F.lit(files_per_bucket))
+    (df.withColumn("bucket", bucket_of(F.col(entity), buckets)).withColumn("_part", part)
+     .repartition("bucket", "_part").drop("_part")
      .write.mode(mode).partitionBy("bucket").parquet(path))
 
 
