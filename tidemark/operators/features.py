@@ -59,21 +59,21 @@ def share_dense(features: DataFrame, names: Sequence[str], min_share: float = 2
     return wide.select(F.inline(pairs))
 
 
-def _mean_map(means: DataFrame) -> Column:
-    """The (feature, mean) table as one map, read once as a scalar subquery."""
-    entries = F.collect_list(F.struct("feature", "mean"))
-    return means.filter(F.col("mean").isNotNull()).agg(F.map_from_entries(entries)).scalar()
-
-
 def align_and_fill(features: DataFrame, keys: Sequence[str], names: Sequence[str],
                    means: DataFrame) -> DataFrame:
-    """Keys and the listed features in order; missing values and columns take the mean."""
-    mean_of = _mean_map(means)
+    """Keys and the listed features in order; missing values and columns take the mean.
+
+    The means are one number per listed feature; they enter the plan as literals,
+    so filling is a plain projection.
+    """
+    wanted = means.filter(F.col("feature").isin(list(names))).limit(len(names))
+    mean_of = {r["feature"]: r["mean"] for r in wanted.collect()}
     have = set(features.columns)
-    return features.select(
-        *keys,
-        *[(F.coalesce(F.col(n), F.try_element_at(mean_of, F.lit(n))) if n in have
-           else F.try_element_at(mean_of, F.lit(n))).alias(n) for n in names])
+
+    def filled(n: str) -> Column:
+        mean = F.lit(mean_of.get(n)).cast("double")
+        return (F.coalesce(F.col(n), mean) if n in have else mean).alias(n)
+    return features.select(*keys, *[filled(n) for n in names])
 
 
 def fill_by_label(features: DataFrame, keys: Sequence[str], names: Sequence[str],

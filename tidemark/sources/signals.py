@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.times import combine_date_time, sampling_period, shift_seconds
-from ..operators.rules import rename_channels
 
 
 def parse_records(lines: DataFrame, pattern: str, line: str = "value", subject: str = "subject",
@@ -46,9 +45,14 @@ def expand_signals(signals: DataFrame, keys: Sequence[str], start: Column, fs: s
     """Timed rows with one column per channel, renamed and coalesced."""
     rows = timed_samples(signals.filter(F.col(channel).isin(list(channels))), keys, start, fs,
                          samples, channel, time, "_v")
-    wide = rows.groupBy(*keys, time).agg(
-        *[F.max(F.when(F.col(channel) == c, F.col("_v"))).alias(c) for c in channels])
-    return rename_channels(wide, rename) if rename else wide
+    # Names of one channel may differ only in case, so sources never become columns.
+    rename = rename or {}
+    taken = {old for olds in rename.values() for old in olds}
+    sources = {**{c: [c] for c in channels if c not in taken},
+               **{new: [o for o in olds if o in channels] for new, olds in rename.items()}}
+    return rows.groupBy(*keys, time).agg(
+        *[F.coalesce(*[F.max(F.when(F.col(channel) == o, F.col("_v"))) for o in olds]).alias(new)
+          for new, olds in sources.items() if olds])
 
 
 def record_start(day: str, clock: str) -> Column:
