@@ -129,3 +129,14 @@ def test_only_wanted_segments(spark):
            for r in features(spark, data, 3, ["a"], max_segments=4).collect()}
     assert few == {k: v for k, v in every.items() if k <= 4}
     assert at(29) - dt.timedelta(hours=3) == at(26)
+
+
+def test_spread_statistics_are_the_same(spark):
+    rng = random.Random(9)
+    data = [(k, c, at(h / 7), rng.choice([-3.0, -0.5, 0.0, 2.25, 2.25, 7.0, 1e6 * rng.random()]))
+            for k in range(3) for c in "ab" for h in range(rng.randint(2, 80))]
+    plain = sorted(features(spark, data, 3, ["a", "b"]).collect())
+    spread = sorted(features(spark, data, 3, ["a", "b"], spread=True).collect())
+    for p, q in zip(plain, spread, strict=True):
+        for x, y in zip(p, q, strict=True):
+            assert x == y or x == pytest.approx(y, rel=1e-12)

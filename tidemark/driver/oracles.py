@@ -377,6 +377,12 @@ FROM stats GROUP BY {KEYS}""",
 SELECT {KEYS},
     {_wide(cfg.FEATURE_CHANNELS, cfg.STATS)}
 FROM stats GROUP BY {KEYS}""",
+    "spread_stats": f"""
+SELECT m.event_type, {r6('m.v')} AS median, {r6('o.v')} AS mode
+FROM (SELECT event_type, median(value) AS v FROM events GROUP BY event_type) m
+JOIN (SELECT event_type, v, row_number() OVER (PARTITION BY event_type ORDER BY c DESC, v) AS rn
+  FROM (SELECT event_type, round(value, 9) AS v, count(*) AS c FROM events GROUP BY ALL)) o
+ON m.event_type = o.event_type AND o.rn = 1""",
     "label_means": f"""WITH {MEANS}
 SELECT label, {', '.join(f'{r6(f"avg({n})")} AS {n}' for n in MEAN_NAMES)}
 FROM features GROUP BY label""",

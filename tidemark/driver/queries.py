@@ -17,6 +17,7 @@ from ..operators.episodes import episode_marks, episodes
 from ..operators.extract import extract_interval, join_dimension
 from ..operators.first_value import first_value_pivot, with_bmi
 from ..operators.nearest import best_event_per_entity, nearest_end_events, repeated_keys
+from ..operators.order_stats import spread_median, spread_mode
 from ..operators.rules import (Bounds, Conversion, LabelRule, Match, Repair, Units, fixed_flags,
                                keep_valid, label_channels, status_flags)
 from ..operators.segments import nearest_snap, segment_features, segment_limits
@@ -309,6 +310,14 @@ def filled_features(spark, sf):
     return _rounded(_features(spark, sf), _names())
 
 
+def spread_stats(spark, sf):
+    """Median and mode of a few groups that each hold a large part of all rows."""
+    rows = long_events(spark, sf)
+    found = spread_median(rows, ["event_type"], "value").join(
+        spread_mode(rows, ["event_type"], "value"), "event_type")
+    return _rounded(found, ["median", "mode"])
+
+
 def _mean_features(spark, sf):
     return segment_features(long_events(spark, sf), USER, *LONG, cfg.CHANNELS, cfg.SEG_HOURS,
                             ["mean", "std"])
@@ -552,6 +561,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "nearest_snap": snap,
     "segment_features": raw_features,
     "filled_features": filled_features,
+    "spread_stats": spread_stats,
     "label_means": label_means,
     "label_counts": label_counts,
     "population_mean": population_mean,

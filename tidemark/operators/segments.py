@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import stat
 from ..functions.times import HOUR_MICROS, int_div, micros_between, shift_micros
+from .order_stats import spread_median, spread_mode
 from .sweep import sweep, with_chunk
 
 
@@ -163,10 +164,24 @@ def segment_members(spanned: DataFrame, entity: Sequence[str], channel: str, ts:
 
 
 def segment_stats(members: DataFrame, entity: Sequence[str], channel: str, value: str,
-                  stats: Sequence[str]) -> DataFrame:
-    """Long statistics: one row per (entity, label, channel)."""
-    return members.groupBy(*entity, "label", "seg_start_time", "seg_end_time", channel).agg(
-        *[stat(s, F.col(value)).alias(s) for s in stats])
+                  stats: Sequence[str], spread: bool = False) -> DataFrame:
+    """Long statistics: one row per (entity, label, channel).
+
+    Times are unique within a segment's channel, so a segment holds at most one
+    row per clock tick of its length, whatever the size of the input, and the
+    built-in median and mode are safe for charted data.  Where the clock is so
+    fine that one segment can exceed a task, ``spread`` computes both, equally
+    exact, without gathering a group.
+    """
+    keys = [*entity, "label", "seg_start_time", "seg_end_time", channel]
+    apart = {"median": spread_median, "mode": spread_mode} if spread else {}
+    out = members.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_rows"),
+        *[stat(s, F.col(value)).alias(s) for s in stats if s not in apart])
+    for s in stats:
+        if s in apart:
+            out = out.join(apart[s](members, keys, value, s), keys, "left")
+    return out.select(*keys, *stats)
 
 
 def widen_stats(stats_long: DataFrame, entity: Sequence[str], channel: str,
@@ -180,7 +195,8 @@ def widen_stats(stats_long: DataFrame, entity: Sequence[str], channel: str,
 def segment_features(long: DataFrame, entity: Sequence[str], channel: str, ts: str, value: str,
                      channels: Sequence[str], seg_hours: float = 3.0,
                      stats: Sequence[str] = ("mean",), max_segments: int | None = None,
-                     series: str | None = None, chunk_hours: float = 24.0) -> DataFrame:
+                     series: str | None = None, chunk_hours: float = 24.0,
+                     spread: bool = False) -> DataFrame:
     """Wide feature table, one row per (entity, segment).
 
     ``long`` may already carry ``_first_ts`` and ``_last_ts``; otherwise they are
@@ -190,5 +206,5 @@ def segment_features(long: DataFrame, entity: Sequence[str], channel: str, ts: s
     if "_last_ts" not in long.columns:
         known = with_span(known, entity, ts, chunk_hours)
     members = segment_members(known, entity, channel, ts, value, seg_hours, max_segments, series)
-    per_channel = segment_stats(members, entity, channel, value, stats)
+    per_channel = segment_stats(members, entity, channel, value, stats, spread)
     return widen_stats(per_channel, entity, channel, channels, stats)
