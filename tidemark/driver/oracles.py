@@ -6,6 +6,7 @@ moments are computed in two passes.
 
 from __future__ import annotations
 
+from ..presets import icu
 from . import settings as cfg
 
 
@@ -258,7 +259,108 @@ report AS (
   SELECT class, support, coalesce(hits / nullif(named, 0), 0) AS precision,
     coalesce(hits / nullif(support, 0), 0) AS recall FROM totals)"""
 
+def _coded(codes) -> str:
+    texts = ", ".join(f"'{t}'" for t in cfg.CHART_TEXTS)
+    return f"""coded AS (
+  SELECT user_id AS subject_id, user_id AS icustay_id, ts AS charttime,
+    list_extract([{', '.join(map(str, codes))}], event_id % {len(codes)} + 1) AS itemid,
+    list_extract([{texts}], (event_id // 7) % {len(cfg.CHART_TEXTS)} + 1) AS value,
+    value AS valuenum, CASE WHEN value > 200 THEN 1 WHEN value >= 5 THEN 0 END AS error
+  FROM events)"""
+
+
+def _codes(codes) -> str:
+    return f"itemid IN ({', '.join(map(str, codes))})"
+
+
+def _within(b) -> str:
+    sides = []
+    if b.low is not None:
+        sides.append(f"valuenum {'>=' if b.low_closed else '>'} {b.low}")
+    if b.high is not None:
+        sides.append(f"valuenum {'<=' if b.high_closed else '<'} {b.high}")
+    return " AND ".join(sides) or "TRUE"
+
+
+def _label_case(rules) -> str:
+    return "CASE " + " ".join(f"WHEN {_codes(r.codes)} AND {_within(r.bounds)} THEN '{r.label}'"
+                              for r in rules) + " END"
+
+
+def _value_case(conversions, repairs=()) -> str:
+    out = "CASE"
+    for c in conversions:
+        out += (f" WHEN {_codes(c.codes)} THEN (valuenum - {c.offset}) * {c.factor}::DOUBLE"
+                f" / {c.divisor}::DOUBLE")
+    for r in repairs:
+        inner = " ".join(
+            f"WHEN {_within(b)} THEN {'NULL' if f is None else f'valuenum * {f}::DOUBLE'}"
+            for b, f in r.pieces)
+        out += (f" WHEN {_codes(r.codes)} THEN CASE {inner} ELSE "
+                f"{'valuenum' if r.keep_rest else 'NULL'} END")
+    return out + " ELSE valuenum END"
+
+
+def _unit_case(units) -> str:
+    return "CASE " + " ".join(f"WHEN {_codes(u.codes)} THEN '{u.unit}'" for u in units) + " END"
+
+
+def _flag_case(matches) -> str:
+    tests = []
+    for m in matches:
+        test = _codes(m.codes)
+        if m.texts is not None:
+            test += f" AND value IN {_in(m.texts)}"
+        if m.not_texts:
+            test += f" AND value NOT IN {_in(m.not_texts)}"
+        tests.append(f"({test})")
+    return f"max(CASE WHEN {' OR '.join(tests)} THEN 1 ELSE 0 END)"
+
+
+_STATUS = ", ".join(f"{_flag_case(m)} AS {name}" for name, m in icu.STATUS_FLAGS.items())
+
 ORACLES: dict[str, str] = {
+    "icu_chart": f"""WITH {EPISODES}, {_coded(cfg.CHART_CODES)},
+longest AS (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY duration_hours DESC, starttime) AS rn
+  FROM eps)
+SELECT subject_id, icustay_id, charttime, {_label_case(icu.CHANNEL_RULES)} AS vital_sign,
+  {r6(_value_case(icu.CHANNEL_CONVERSIONS, icu.CHANNEL_REPAIRS))} AS valuenum,
+  {_unit_case(icu.CHANNEL_UNITS)} AS unit
+FROM coded JOIN longest ON icustay_id = user_id AND rn = 1
+  AND charttime BETWEEN starttime AND endtime
+WHERE error IS DISTINCT FROM 1
+UNION ALL
+SELECT e.user_id, e.user_id, e.ts, CASE WHEN e.value >= 1 AND e.value <= 800 THEN 'PaO2' END,
+  {r6('e.value')}, 'mmHg'
+FROM events e JOIN longest l ON e.user_id = l.user_id AND l.rn = 1
+  AND e.ts BETWEEN l.starttime AND l.endtime
+WHERE e.event_type = 'signup'""",
+    "icu_status": f"""WITH {_coded(cfg.STATUS_CODES)}
+SELECT icustay_id, charttime, {_STATUS}
+FROM coded WHERE value <> '' AND error IS DISTINCT FROM 1 AND {_codes(icu.STATUS_CODES)}
+GROUP BY icustay_id, charttime
+UNION
+SELECT o_custkey, o_orderdate, 0, 0, 1, CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END
+FROM orders WHERE o_orderstatus IN ('F', 'P')""",
+    "icu_body": f"""WITH {_coded(cfg.BODY_CODES)},
+shaped AS (
+  SELECT icustay_id, subject_id, charttime, {_label_case(icu.BODY_RULES)} AS p,
+    {_value_case(icu.BODY_CONVERSIONS)} AS v
+  FROM coded WHERE error IS DISTINCT FROM 1 AND valuenum <> 0
+    AND {_codes([c for r in icu.BODY_RULES for c in r.codes])}),
+firsts AS (
+  SELECT DISTINCT icustay_id, subject_id, p, first_value(v) OVER (
+      PARTITION BY icustay_id, subject_id, p ORDER BY charttime, v
+      ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS v
+  FROM shaped),
+wide AS (
+  SELECT icustay_id, subject_id, max(CASE WHEN p = 'height' THEN v END) AS height,
+    max(CASE WHEN p = 'weight' THEN v END) AS weight
+  FROM firsts GROUP BY icustay_id, subject_id)
+SELECT icustay_id, subject_id, round(height, 2) AS height, round(weight, 2) AS weight,
+  {r6('weight / (height / 100 * height / 100)')} AS bmi
+FROM wide""",
     "rule_label": f"""
 SELECT event_id, CASE WHEN event_type IN ('click', 'view') AND value > 0 AND value < 100 THEN 'rate'
     WHEN event_type = 'error' AND value >= 10 AND value < 50 THEN 'temp'

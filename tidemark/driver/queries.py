@@ -22,7 +22,8 @@ from ..operators.rules import (Bounds, Conversion, LabelRule, Match, Repair, Uni
                                keep_valid, label_channels, status_flags)
 from ..operators.segments import nearest_snap, segment_features, segment_limits
 from ..plans import tables as tb
-from ..plans.chart import stay_channels
+from ..plans.chart import chart_data, stay_channels
+from ..plans.cohort import body_measures, ventilation_status
 from ..session import settle, shared_dir
 from ..sources import signals as sg
 from ..sources import tables as st
@@ -214,6 +215,50 @@ def interval_union(spark, sf):
         others.select("stay", "at", "channel", "value"))
 
 
+# --- the intensive-care preset over events read as charted items ------------------------------
+
+def _coded(spark, sf, codes) -> DataFrame:
+    """Events as charted items: code and text are dealt out in turn."""
+    turn = F.col("event_id")
+    item = F.element_at(F.array(*[F.lit(c).cast("bigint") for c in codes]),
+                        (turn % len(codes) + 1).cast("int"))
+    text = F.element_at(F.array(*[F.lit(t) for t in cfg.CHART_TEXTS]),
+                        (F.call_function("div", turn, F.lit(7)) % len(cfg.CHART_TEXTS) + 1)
+                        .cast("int"))
+    return events(spark, sf).select(
+        F.col("user_id").alias("subject_id"), F.col("user_id").alias("hadm_id"),
+        F.col("user_id").alias("icustay_id"), F.col("ts").alias("charttime"),
+        item.alias("itemid"), text.alias("value"), F.col("value").alias("valuenum"),
+        F.when(F.col("value") > 200, 1).when(F.col("value") >= 5, 0).alias("error"))
+
+
+def icu_chart(spark, sf):
+    """Labelled chart and lab values inside the longest episode of each user."""
+    longest = best_event_per_entity(event_episodes(spark, sf).drop("ventnum"), "user_id",
+                                    "duration_hours", "starttime", "starttime")
+    people = longest.select(
+        F.col("user_id").alias("subject_id"), F.col("user_id").alias("hadm_id"),
+        F.col("user_id").alias("icustay_id"), F.col("starttime").alias("vent_start"),
+        F.col("endtime").alias("vent_end"))
+    labs = events(spark, sf).filter("event_type = 'signup'").select(
+        F.col("user_id").alias("subject_id"), F.col("ts").alias("charttime"),
+        F.lit(50821).cast("bigint").alias("itemid"), F.col("value").alias("valuenum"))
+    out = chart_data(people, _coded(spark, sf, cfg.CHART_CODES), labs)
+    return out.withColumn("valuenum", r6("valuenum"))
+
+
+def icu_status(spark, sf):
+    done = table(spark, sf, "orders").select(
+        F.col("o_custkey").alias("icustay_id"), F.col("o_orderdate").alias("starttime"),
+        F.when(F.col("o_orderstatus") == "F", 227194).when(F.col("o_orderstatus") == "P", 225468)
+        .otherwise(0).cast("bigint").alias("itemid"))
+    return ventilation_status(_coded(spark, sf, cfg.STATUS_CODES), done)
+
+
+def icu_body(spark, sf):
+    return body_measures(_coded(spark, sf, cfg.BODY_CODES)).withColumn("bmi", r6("bmi"))
+
+
 # --- series --------------------------------------------------------------------------------
 
 def collapse_dupes(spark, sf):
@@ -547,6 +592,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ids": ids,
     "interval_extract": interval_extract,
     "interval_union": interval_union,
+    "icu_chart": icu_chart,
+    "icu_status": icu_status,
+    "icu_body": icu_body,
     "collapse_dupes": collapse_dupes,
     "densify": densify,
     "interpolate": interpolate,

@@ -1,5 +1,7 @@
 """How the operators are mapped to the driver's tables; shared by queries and SQL."""
 
+from ..presets import icu
+
 CHANNELS = ["click", "error", "purchase", "signup", "view"]
 STATS = ["mean", "median", "mode", "kurtosis", "skew", "std"]
 SEG_HOURS = 48
@@ -17,3 +19,10 @@ SPLIT_PRIME = 4294967291
 SIGNAL_START = "2024-01-01 00:00:00"
 SIGNAL_FS = 0.016
 URL_PATTERN = r"^https?://(?:[a-z]+\.)?([a-z]+)\.example\.(?:com|net|org)/(?:[a-z]+)/(\d+)"
+
+# Codes and texts dealt to events so that they can be read as charted items.
+CHART_CODES = [c for r in icu.CHANNEL_RULES for c in r.codes]
+STATUS_CODES = [*icu.STATUS_CODES, 459, 211]
+BODY_CODES = [*[c for r in icu.BODY_RULES for c in r.codes], 226531]
+CHART_TEXTS = [*icu.O2_DEVICE_TEXTS, *icu.O2_DEVICE_TEXTS_OLD, "Trach mask", "Ventilator",
+               "Extubated", "Self Extubation", "Other", "Other/Remarks", ""]
