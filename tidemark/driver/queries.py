@@ -240,9 +240,10 @@ def icu_chart(spark, sf):
         F.col("user_id").alias("subject_id"), F.col("user_id").alias("hadm_id"),
         F.col("user_id").alias("icustay_id"), F.col("starttime").alias("vent_start"),
         F.col("endtime").alias("vent_end"))
-    labs = events(spark, sf).filter("event_type = 'signup'").select(
+    labs = events(spark, sf).select(
         F.col("user_id").alias("subject_id"), F.col("ts").alias("charttime"),
-        F.lit(50821).cast("bigint").alias("itemid"), F.col("value").alias("valuenum"))
+        F.when(F.col("event_type") == "signup", 50821).otherwise(0).cast("bigint")
+        .alias("itemid"), F.col("value").alias("valuenum"))
     out = chart_data(people, _coded(spark, sf, cfg.CHART_CODES), labs)
     return out.withColumn("valuenum", r6("valuenum"))
 
