@@ -169,13 +169,14 @@ def derive_ratio_product(long: DataFrame, entity: Sequence[str], channel: str, t
     owners = long.filter(F.col(channel) == other).select(*entity).distinct()
     at = at.filter("_has = 1").join(owners, list(entity), "left_semi")
     scaled = F.col("_o") / F.lit(float(scale))
-    made = long
-    for name, unit, v in zip(names, units,
-                             (F.try_divide(F.col("_b"), scaled), F.col("_b") * scaled)):
-        rows = at.select(*keys, F.lit(name).alias(channel), v.alias(value),
-                         *([F.lit(unit).cast("string").alias(unit_col)] if unit_col else []))
-        made = made.unionByName(rows, allowMissingColumns=True)
-    return made
+    # Both results leave one pass over the pairs, as two rows per time.
+    both = F.array(*[
+        F.struct(F.lit(name).alias(channel), v.alias(value),
+                 *([F.lit(unit).cast("string").alias(unit_col)] if unit_col else []))
+        for name, unit, v in zip(names, units, (F.try_divide(F.col("_b"), scaled),
+                                                F.col("_b") * scaled))])
+    made = at.select(*keys, F.inline(both))
+    return long.unionByName(made, allowMissingColumns=True)
 
 
 def channel_series(long: DataFrame, entity: str, channel: str, ts: str, value: str,
