@@ -98,10 +98,11 @@ class Block:
     of the block are hashed at once, whatever their lengths.
     """
 
-    def __init__(self, texts: Sequence[bytes | None], breaks: np.ndarray = SPACE):
+    def __init__(self, texts: Sequence[bytes | None], breaks: np.ndarray = SPACE,
+                 lower: bool = True):
         plain = [t or b"" for t in texts]
         joined = np.frombuffer(b"\n".join(plain) + b"\n", dtype=np.uint8)
-        self.bytes = _LOWER[joined]
+        self.bytes = _LOWER[joined] if lower else joined
         sizes = np.fromiter((len(t) for t in plain), np.int64, len(plain)) + 1
         self.ends = np.cumsum(sizes)
         self.starts = self.ends - sizes
@@ -113,11 +114,15 @@ class Block:
         self.first = np.searchsorted(self.word_start, np.append(self.starts, self.ends[-1:] if len(plain) else 0))
         self.n_words = np.diff(self.first)
 
-    def word_hashes(self) -> np.ndarray:
+    def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """64-bit hash of the bytes of each range."""
         up, down = _power_tables(len(self.bytes) + 1)
         sums = np.zeros(len(self.bytes) + 1, dtype=np.uint64)
         np.cumsum(_BYTE_CODE[self.bytes] * up[:len(self.bytes)], out=sums[1:])
-        return mix64((sums[self.word_end] - sums[self.word_start]) * down[self.word_start])
+        return mix64((sums[end] - sums[start]) * down[start])
+
+    def word_hashes(self) -> np.ndarray:
+        return self.hashes(self.word_start, self.word_end)
 
     def text_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.n_words)), self.n_words)

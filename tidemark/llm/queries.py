@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, line_templates, mixing, simhash
+from . import decontaminate, language, line_templates, mixing, privacy, secret_scan, simhash, url_filter
 from .common import is_remainder, read
 
 
+def op1_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = privacy.sanitise(read(spark, sf_dir, "documents"))
+    return privacy.report(found).withColumnRenamed("id", "doc_id")
+
+
 def op3_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines dropped from every document, and a hash of what is left."""
     cut = line_templates.drop_recurring(read(spark, sf_dir, "documents"))
@@ -16,6 +21,11 @@ def op3_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.col("__kept").alias("kept"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(read(spark, sf_dir, "documents"))
+    return secret_scan.report(found).withColumnRenamed("id", "doc_id")
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = language.learn(language.training_rows(docs))
@@ -29,6 +39,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "source", "epoch", "block_order", "doc_order")
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(read(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return found.select(F.col("id").alias("doc_id"), "item_id", "cosine", "common", "answer")
@@ -47,7 +61,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op3_line_templates, op5_language, op7_mixing, op9_decontamination, op10_simhash, pipeline)}
+    op1_privacy, op3_line_templates, op4_secrets, op5_language, op7_mixing, op8_url_filter,
+    op9_decontamination, op10_simhash, pipeline)}
 
 # Statistics, hashes and models that SQL can't state; tests/llm compares them with plain Python.
 ORACLES: dict[str, str] = {}

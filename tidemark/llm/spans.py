@@ -56,3 +56,13 @@ def digest(spans: Column) -> Column:
     """kind:start:end of every span, comma-joined in the order given."""
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(
         ":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
+
+
+def apart(spans: Column, others: Column) -> Column:
+    """Spans that overlap none of the others."""
+    return F.filter(spans, lambda s: ~F.exists(
+        others, lambda o: (s["start"] < o["end"]) & (o["start"] < s["end"])))
+
+
+def sha256(text: Column) -> Column:
+    return F.sha2(text.cast("binary"), 256)
