@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, line_templates, mixing, privacy, secret_scan, simhash, url_filter
+from . import (
+    decontaminate, kneser_ney, language, line_crf, line_templates, mixing, privacy, secret_scan,
+    simhash, url_filter)
 from .common import is_remainder, read
 
 
@@ -14,6 +16,14 @@ def op1_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return privacy.report(found).withColumnRenamed("id", "doc_id")
 
 
+def op2_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = kneser_ney.learn(kneser_ney.training_rows(docs))
+    return kneser_ney.score(docs, model).select(
+        F.col("id").alias("doc_id"), is_remainder("id", 10, 0).alias("held_out"), "n_tokens", "n_known",
+        F.lit(model.tokens).cast("bigint").alias("train_tokens"), "base_score", "score", "perplexity")
+
+
 def op3_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines dropped from every document, and a hash of what is left."""
     cut = line_templates.drop_recurring(read(spark, sf_dir, "documents"))
@@ -34,6 +44,12 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("mixture").alias("n_languages"))
 
 
+def op6_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    field = line_crf.learn(docs, read(spark, sf_dir, "labels"))
+    return line_crf.rate(docs, field).drop("key").withColumnRenamed("id", "doc_id")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return mixing.mix(docs).select("doc_id", "source", "epoch", "block_order", "doc_order")
@@ -61,8 +77,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_privacy, op3_line_templates, op4_secrets, op5_language, op7_mixing, op8_url_filter,
-    op9_decontamination, op10_simhash, pipeline)}
+    op1_privacy, op2_kneser_ney, op3_line_templates, op4_secrets, op5_language, op6_line_quality,
+    op7_mixing, op8_url_filter, op9_decontamination, op10_simhash, pipeline)}
 
 # Statistics, hashes and models that SQL can't state; tests/llm compares them with plain Python.
 ORACLES: dict[str, str] = {}
