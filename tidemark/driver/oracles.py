@@ -26,64 +26,57 @@ FLAGS = f"""flags AS (
   SELECT user_id, ts, {', '.join(_flag(f) for f in cfg.FLAG_CODES)}
   FROM events GROUP BY user_id, ts)"""
 
-MARKS = f"""lagged AS (
-  SELECT *,
-    CASE WHEN on_flag = 1 THEN lag(ts) OVER (PARTITION BY user_id, on_flag
-      ORDER BY ts, end_flag, alt_flag) END AS prev_on,
-    lag(end_flag) OVER (PARTITION BY user_id,
-      CASE WHEN on_flag = 1 OR end_flag = 1 THEN 1 ELSE 0 END
-      ORDER BY ts, end_flag, on_flag, alt_flag) AS prev_end
-  FROM flags),
-opened AS (
-  SELECT *, CASE WHEN prev_end = 1 THEN 1
-    WHEN on_flag = 0 AND alt_flag = 1 THEN 1
-    WHEN date_sub('second', prev_on, ts) / 3600.0 > {cfg.GAP_HOURS} THEN 1 ELSE 0 END AS opens
-  FROM lagged),
+# What came before a row is looked up, an episode's number counts the openings so far.
+MARKS = f"""active AS (SELECT user_id, ts, end_flag FROM flags WHERE on_flag + end_flag > 0),
+running AS (SELECT user_id, ts FROM flags WHERE on_flag = 1),
+seen AS (
+  SELECT f.*, f.on_flag + f.end_flag > 0 AS is_active, a.end_flag AS ended_before, r.ts AS on_before
+  FROM flags f ASOF LEFT JOIN active a ON a.user_id = f.user_id AND a.ts < f.ts
+  ASOF LEFT JOIN running r ON r.user_id = f.user_id AND r.ts < f.ts),
+openings AS (
+  SELECT user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS nth FROM seen
+  WHERE (is_active AND ended_before = 1) OR (alt_flag = 1 AND on_flag = 0)
+    OR (on_flag = 1 AND on_before < ts - INTERVAL {int(cfg.GAP_HOURS)} HOUR)),
 marks AS (
-  SELECT *, CASE WHEN on_flag = 1 OR end_flag = 1 THEN
-    CAST(sum(opens) OVER (PARTITION BY user_id ORDER BY ts) AS BIGINT) END AS episode_no
-  FROM opened)"""
+  SELECT s.user_id, s.ts, s.on_flag, CASE WHEN o.ts = s.ts THEN 1 ELSE 0 END AS opens,
+    CASE WHEN is_active THEN coalesce(o.nth, 0) END AS episode_no
+  FROM seen s ASOF LEFT JOIN openings o ON o.user_id = s.user_id AND o.ts <= s.ts)"""
 
 EPISODES = f"""{FLAGS}, {MARKS},
+stretches AS (
+  SELECT user_id, min(ts) AS starttime, max(ts) AS endtime FROM marks
+  WHERE episode_no IS NOT NULL GROUP BY user_id, episode_no
+  HAVING count(*) > 1 AND bool_or(on_flag = 1)),
 eps AS (
-  SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY episode_no) AS BIGINT)
-      AS ventnum,
-    min(ts) AS starttime, max(ts) AS endtime,
-    date_sub('second', min(ts), max(ts)) / CAST(3600 AS DOUBLE) AS duration_hours
-  FROM marks WHERE episode_no IS NOT NULL GROUP BY user_id, episode_no
-  HAVING min(ts) <> max(ts) AND max(on_flag) = 1)"""
+  SELECT user_id, (SELECT count(*) FROM stretches o
+      WHERE o.user_id = s.user_id AND o.starttime <= s.starttime) AS ventnum,
+    starttime, endtime, date_sub('second', starttime, endtime) / 3600.0::DOUBLE AS duration_hours
+  FROM stretches s)"""
 
 PAIRS = f"""{EPISODES},
-measured AS (
-  SELECT f.user_id, e.starttime, e.endtime, f.ts AS event_ts, e.duration_hours,
-    abs(date_sub('hour', e.endtime, f.ts)) AS d
-  FROM flags f JOIN eps e ON f.user_id = e.user_id WHERE f.special_flag = 1),
+ends AS (SELECT user_id, ts AS event_ts FROM flags WHERE special_flag = 1),
+apart AS (
+  SELECT user_id, starttime, endtime, event_ts, duration_hours,
+    abs(date_sub('hour', endtime, event_ts)) AS se_diff
+  FROM eps JOIN ends USING (user_id)),
 pairs AS (
-  SELECT user_id, starttime, endtime, event_ts, duration_hours, d AS se_diff
-  FROM (SELECT *, min(d) OVER (PARTITION BY user_id) AS m FROM measured) WHERE d = m)"""
-
-BODY = """firsts AS (
-  SELECT user_id, p, first_value(v) OVER (PARTITION BY user_id, p ORDER BY ts, v
-      ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS v
-  FROM (SELECT user_id, ts,
-      CASE WHEN event_type IN ('click', 'signup') THEN 'height' ELSE 'weight' END AS p,
-      CASE event_type WHEN 'click' THEN value * 2.54 WHEN 'error' THEN value * 0.45359237
-        ELSE value END AS v
-    FROM events WHERE value IS NOT NULL AND value <> 0
-      AND event_type IN ('click', 'signup', 'view', 'error'))),
-wide AS (
-  SELECT user_id, max(CASE WHEN p = 'height' THEN v END) AS height,
-    max(CASE WHEN p = 'weight' THEN v END) AS weight
-  FROM (SELECT DISTINCT * FROM firsts) GROUP BY user_id),
+  SELECT user_id, starttime, endtime, event_ts, duration_hours, se_diff
+  FROM apart JOIN (SELECT user_id, min(se_diff) AS se_diff FROM apart GROUP BY user_id)
+    USING (user_id, se_diff))"""
+
+BODY = """scales(event_type, what, factor) AS (
+  VALUES ('click', 'height', 2.54::DOUBLE), ('signup', 'height', 1), ('view', 'weight', 1),
+    ('error', 'weight', 0.45359237)),
 body AS (
-  SELECT user_id, round(height, 2) AS height, round(weight, 2) AS weight,
-    CASE WHEN height IS NOT NULL AND weight IS NOT NULL
-      THEN weight / (height / 100 * height / 100) END AS bmi
-  FROM wide)"""
+  SELECT *, weight / (height / 100 * height / 100) AS bmi FROM (
+    SELECT user_id, first(value * factor ORDER BY ts, value * factor)
+        FILTER (WHERE what = 'height') AS height,
+      first(value * factor ORDER BY ts, value * factor) FILTER (WHERE what = 'weight') AS weight
+    FROM events JOIN scales USING (event_type) WHERE value <> 0 GROUP BY user_id))"""
 
 COHORT = f"""{PAIRS}, {BODY},
 named AS (
-  SELECT p.*, b.weight, b.height, b.bmi, c.c_name, c.c_nationkey
+  SELECT p.*, round(b.weight, 2) AS weight, round(b.height, 2) AS height, b.bmi, c.c_name, c.c_nationkey
   FROM pairs p LEFT JOIN body b ON p.user_id = b.user_id
   LEFT JOIN customer c ON p.user_id = c.c_custkey),
 ranked AS (
@@ -133,17 +126,26 @@ long AS (
 
 RAW_LONG = """long AS (SELECT user_id, event_type, ts, value FROM events)"""
 
-SEGS = f"""spans AS (SELECT user_id, min(ts) AS t0, max(ts) AS t1 FROM long GROUP BY user_id),
+LINES_LONG = """long AS (
+  SELECT l_orderkey AS user_id, l_returnflag AS event_type, CAST(l_shipdate AS TIMESTAMP) AS ts,
+    CAST(l_quantity AS DOUBLE) AS value FROM lineitem)"""
+
+
+def _segs(hours: int) -> str:
+    return f"""spans AS (SELECT user_id, min(ts) AS t0, max(ts) AS t1 FROM long GROUP BY user_id),
 segs AS (
   SELECT user_id, CAST(j AS INTEGER) AS label,
-    t1 - to_hours(CAST(j * {cfg.SEG_HOURS} AS INTEGER)) AS seg_start_time,
-    t1 - to_hours(CAST((j - 1) * {cfg.SEG_HOURS} AS INTEGER)) AS seg_end_time
+    t1 - to_hours(CAST(j * {hours} AS INTEGER)) AS seg_start_time,
+    t1 - to_hours(CAST((j - 1) * {hours} AS INTEGER)) AS seg_end_time
   FROM (SELECT *, unnest(generate_series(1,
-      (date_sub('microsecond', t0, t1) + {cfg.SEG_HOURS * 3600000000 - 1})
-        // {cfg.SEG_HOURS * 3600000000})) AS j
+      (date_sub('microsecond', t0, t1) + {hours * 3600000000 - 1})
+        // {hours * 3600000000})) AS j
     FROM spans))"""
 
-SNAPS = f"""{SEGS},
+
+SEGS = _segs(cfg.SEG_HOURS)
+
+_SNAPS = """
 limits AS (
   SELECT DISTINCT s.user_id, c.event_type, s.label, s.seg_start_time, s.seg_end_time
   FROM segs s JOIN (SELECT DISTINCT user_id, event_type FROM long) c ON s.user_id = c.user_id),
@@ -165,14 +167,19 @@ snapped AS (
   JOIN high b ON b.user_id = l.user_id AND b.event_type = l.event_type AND b.label = l.label
     AND b.rn = 1)"""
 
-STATS = f"""{SNAPS},
+SNAPS = f"{SEGS},{_SNAPS}"
+
+
+def _stats(segs: str, mode: str = "v") -> str:
+    """Statistics of every segment; ``mode`` is the value whose mode is taken."""
+    return f"""{segs},{_SNAPS},
 members AS (
   SELECT s.user_id, s.event_type, s.label, s.seg_start_time, s.seg_end_time, d.value AS v,
     avg(d.value) OVER (PARTITION BY s.user_id, s.event_type, s.label) AS m
   FROM snapped s JOIN long d ON d.user_id = s.user_id AND d.event_type = s.event_type
     AND d.ts BETWEEN s.start_ts AND s.end_ts),
 counted AS (
-  SELECT user_id, event_type, label, round(v, 9) AS v, count(*) AS c FROM members GROUP BY ALL),
+  SELECT user_id, event_type, label, {mode} AS v, count(*) AS c FROM members GROUP BY ALL),
 modes AS (
   SELECT user_id, event_type, label, v AS mode_v FROM (
     SELECT *, row_number() OVER (PARTITION BY user_id, event_type, label
@@ -194,6 +201,10 @@ stats AS (
   FROM sums s JOIN modes USING (user_id, event_type, label))"""
 
 
+STATS = _stats(SEGS)
+FILLED_STATS = _stats(SEGS, f"round(v, {cfg.MODE_DECIMALS})")
+
+
 def _wide(channels, stats, rounded=True) -> str:
     cols = []
     for c in channels:
@@ -210,7 +221,7 @@ MEANS = f"""{RAW_LONG}, {STATS},
 features AS (SELECT {KEYS},
     {_wide(cfg.CHANNELS, ("mean", "std"), False)}
   FROM stats GROUP BY {KEYS})"""
-FULL = f"""{DERIVED}, {STATS},
+FULL = f"""{DERIVED}, {FILLED_STATS},
 features AS (SELECT {KEYS},
     {_wide(cfg.FEATURE_CHANNELS, cfg.STATS, False)}
   FROM stats GROUP BY {KEYS})"""
@@ -349,15 +360,10 @@ shaped AS (
     {_value_case(icu.BODY_CONVERSIONS)} AS v
   FROM coded WHERE error IS DISTINCT FROM 1 AND valuenum <> 0
     AND {_codes([c for r in icu.BODY_RULES for c in r.codes])}),
-firsts AS (
-  SELECT DISTINCT icustay_id, subject_id, p, first_value(v) OVER (
-      PARTITION BY icustay_id, subject_id, p ORDER BY charttime, v
-      ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS v
-  FROM shaped),
 wide AS (
-  SELECT icustay_id, subject_id, max(CASE WHEN p = 'height' THEN v END) AS height,
-    max(CASE WHEN p = 'weight' THEN v END) AS weight
-  FROM firsts GROUP BY icustay_id, subject_id)
+  SELECT icustay_id, subject_id, first(v ORDER BY charttime, v) FILTER (WHERE p = 'height') AS height,
+    first(v ORDER BY charttime, v) FILTER (WHERE p = 'weight') AS weight
+  FROM shaped GROUP BY icustay_id, subject_id)
 SELECT icustay_id, subject_id, round(height, 2) AS height, round(weight, 2) AS weight,
   {r6('weight / (height / 100 * height / 100)')} AS bmi
 FROM wide""",
@@ -369,14 +375,13 @@ SELECT event_id, CASE WHEN event_type IN ('click', 'view') AND value > 0 AND val
   CASE WHEN event_type IN ('click', 'view') THEN 'bpm' WHEN event_type = 'purchase' THEN 'ml' END
     AS unit
 FROM events WHERE event_type IN ('click', 'view', 'error', 'purchase')""",
-    "repair_nested": f"""
-SELECT event_id, event_type, {r6('''CASE
-    WHEN event_type = 'click' THEN CASE WHEN value > 0 AND value <= 1 THEN value * 100
-      WHEN value > 1 AND value < 21 THEN NULL
-      WHEN value >= 21 AND value <= 100 THEN value ELSE NULL END
-    WHEN event_type = 'view' AND value > 0.2 AND value < 1 THEN value * 100
-    ELSE value END''')} AS converted
-FROM events""",
+    "repair_nested": f"""WITH pieces(kind, low, high, closed, factor) AS (
+  VALUES ('click', 0, 1, '(]', 100::DOUBLE), ('click', 21, 100, '[]', 1), ('view', 0.2, 1, '()', 100))
+SELECT event_id, event_type,
+  {r6("coalesce(value * factor, CASE WHEN event_type <> 'click' THEN value END)")} AS converted
+FROM events LEFT JOIN pieces ON event_type = kind
+  AND (value > low OR value = low AND closed LIKE '[%')
+  AND (value < high OR value = high AND closed LIKE '%]')""",
     "null_safe_exclude": """
 SELECT event_id, event_type, value, error FROM (
   SELECT *, CASE WHEN value > 200 THEN 1 WHEN value >= 5 THEN 0 END AS error FROM events)
@@ -399,7 +404,8 @@ FROM orders WHERE o_orderstatus IN ('F', 'P')""",
 SELECT user_id, ventnum, starttime, endtime, {r6('duration_hours')} AS duration_hours FROM eps""",
     "episode_marks": f"WITH {FLAGS}, {MARKS} SELECT user_id, ts, opens, episode_no FROM marks",
     "first_value_pivot": f"""WITH {BODY}
-SELECT user_id, height, weight, {r6('bmi')} AS bmi FROM body""",
+SELECT user_id, round(height, 2) AS height, round(weight, 2) AS weight, {r6('bmi')} AS bmi
+FROM body""",
     "nearest_end": f"""WITH {PAIRS}
 SELECT user_id, starttime, endtime, event_ts, {r6('duration_hours')} AS duration_hours, se_diff
 FROM pairs""",
@@ -446,7 +452,8 @@ FROM lineitem GROUP BY l_orderkey, l_shipdate""",
 SELECT user_id, event_type, ts, {r6('value')} AS value FROM imputed""",
     "fill": f"WITH {IMPUTED} SELECT user_id, event_type, ts, filled AS value FROM imputed",
     "channel_sum": f"""WITH {IMPUTED}
-SELECT a.user_id, 'total' AS event_type, a.ts, {r6('a.value + b.value + c.value')} AS value
+SELECT user_id, event_type, ts, {r6('value')} AS value FROM imputed
+UNION ALL SELECT a.user_id, 'total' AS event_type, a.ts, {r6('a.value + b.value + c.value')} AS value
 FROM imputed a JOIN imputed b ON a.user_id = b.user_id AND a.ts = b.ts
 JOIN imputed c ON a.user_id = c.user_id AND a.ts = c.ts
 WHERE a.event_type = 'click' AND b.event_type = 'error' AND c.event_type = 'view'""",
@@ -457,7 +464,8 @@ both_ AS (
     AND o.event_type = 'view'
   WHERE a.event_type = 'click'
     AND a.user_id IN (SELECT user_id FROM events WHERE event_type = 'view'))
-SELECT user_id, 'ratio' AS event_type, ts, {r6('b / nullif(v, 0)')} AS value FROM both_
+SELECT user_id, event_type, ts, {r6('value')} AS value FROM imputed
+UNION ALL SELECT user_id, 'ratio' AS event_type, ts, {r6('b / nullif(v, 0)')} AS value FROM both_
 UNION ALL SELECT user_id, 'product', ts, {r6('b * v')} FROM both_""",
     "channel_series": """
 SELECT user_id, ts, avg(value) AS value FROM events WHERE event_type = 'click'
@@ -475,7 +483,11 @@ UNION ALL SELECT user_id, label, seg_end_time FROM segs""",
 SELECT {KEYS},
     {_wide(cfg.CHANNELS, cfg.STATS)}
 FROM stats GROUP BY {KEYS}""",
-    "filled_features": f"""WITH {DERIVED}, {STATS}
+    "segment_repeats": f"""WITH {LINES_LONG}, {_stats(_segs(cfg.LINE_SEG_HOURS))}
+SELECT user_id AS l_orderkey, label, seg_start_time, seg_end_time,
+    {_wide(cfg.RETURN_FLAGS, ("mean", "median", "mode"))}
+FROM stats GROUP BY {KEYS}""",
+    "filled_features": f"""WITH {DERIVED}, {FILLED_STATS}
 SELECT {KEYS},
     {_wide(cfg.FEATURE_CHANNELS, cfg.STATS)}
 FROM stats GROUP BY {KEYS}""",
@@ -483,7 +495,7 @@ FROM stats GROUP BY {KEYS}""",
 SELECT m.event_type, {r6('m.v')} AS median, {r6('o.v')} AS mode
 FROM (SELECT event_type, median(value) AS v FROM events GROUP BY event_type) m
 JOIN (SELECT event_type, v, row_number() OVER (PARTITION BY event_type ORDER BY c DESC, v) AS rn
-  FROM (SELECT event_type, round(value, 9) AS v, count(*) AS c FROM events GROUP BY ALL)) o
+  FROM (SELECT event_type, value AS v, count(*) AS c FROM events GROUP BY ALL)) o
 ON m.event_type = o.event_type AND o.rn = 1""",
     "label_means": f"""WITH {MEANS}
 SELECT label, {', '.join(f'{r6(f"avg({n})")} AS {n}' for n in MEAN_NAMES)}
@@ -555,6 +567,7 @@ WHERE ts BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-20 00:00
 GROUP BY user_id""",
     "ensure_table": f"WITH {FLAGS} SELECT * FROM flags",
     "cached": "SELECT user_id, min(ts) AS first_ts, max(ts) AS last_ts FROM events GROUP BY user_id",
+    "one_user": f"SELECT user_id, event_type, ts, value FROM events WHERE user_id = {cfg.ONE_USER}",
     "bucket_store": "SELECT user_id, event_type, ts, value FROM events",
     "item_dimension": """
 SELECT p_partkey AS itemid, p_name || ', ' || p_type AS label, p_brand AS LEVEL1,

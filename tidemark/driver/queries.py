@@ -14,7 +14,7 @@ from ..operators import features as ft
 from ..operators import model as md
 from ..operators import series as sr
 from ..operators.episodes import episode_marks, episodes
-from ..operators.extract import extract_interval, join_dimension
+from ..operators.extract import entity_rows, extract_interval, join_dimension
 from ..operators.first_value import first_value_pivot, with_bmi
 from ..operators.nearest import best_event_per_entity, nearest_end_events, repeated_keys
 from ..operators.order_stats import spread_median, spread_mode
@@ -288,13 +288,13 @@ def fill(spark, sf):
 
 def channel_sum(spark, sf):
     out = sr.derive_sum(_imputed(spark, sf), USER, *LONG, ["click", "error", "view"], "total")
-    return _rounded(out.filter(F.col("event_type") == "total"), ["value"])
+    return _rounded(out, ["value"])
 
 
 def channel_ratio(spark, sf):
     out = sr.derive_ratio_product(_imputed(spark, sf), USER, *LONG, "click", "view", 1000.0,
                                   ("ratio", "product"))
-    return _rounded(out.filter(F.col("event_type").isin("ratio", "product")), ["value"])
+    return _rounded(out, ["value"])
 
 
 def channel_series(spark, sf):
@@ -336,6 +336,16 @@ def raw_features(spark, sf):
     return _rounded(out, ft.feature_names(cfg.CHANNELS, cfg.STATS))
 
 
+def repeated_times(spark, sf):
+    """Segments over rows that repeat a time: an order's lines by their ship date."""
+    lines = table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_returnflag", F.col("l_shipdate").cast("timestamp_ntz").alias("at"),
+        F.col("l_quantity").cast("double").alias("l_quantity"))
+    out = segment_features(lines, ["l_orderkey"], "l_returnflag", "at", "l_quantity",
+                           cfg.RETURN_FLAGS, cfg.LINE_SEG_HOURS, ["mean", "median", "mode"])
+    return _rounded(out, ft.feature_names(cfg.RETURN_FLAGS, ["mean", "median", "mode"]))
+
+
 def derived_channels():
     scaled = F.col("view") / F.lit(1000.0)
     return [("click", F.col("error") + F.col("signup"), 1),
@@ -345,7 +355,8 @@ def derived_channels():
 
 def _features(spark, sf, max_segments=None):
     return tb.feature_table(long_events(spark, sf), USER, *LONG, cfg.CHANNELS, derived_channels(),
-                            cfg.SEG_HOURS, cfg.STATS, max_segments)
+                            cfg.SEG_HOURS, cfg.STATS, max_segments,
+                            mode_decimals=cfg.MODE_DECIMALS)
 
 
 def _names():
@@ -417,7 +428,8 @@ def training_table(spark, sf):
 def scoring_table(spark, sf):
     _, means, kept = _training(spark, sf)
     scored = tb.scoring_table(long_events(spark, sf), means, kept, USER, *LONG, cfg.CHANNELS,
-                              derived_channels(), cfg.SEG_HOURS, cfg.TOTAL_HOURS / 2, cfg.STATS)
+                              derived_channels(), cfg.SEG_HOURS, cfg.TOTAL_HOURS / 2, cfg.STATS,
+                              mode_decimals=cfg.MODE_DECIMALS)
     pairs = F.array(*[F.struct(F.lit(n).alias("feature"), r6(n).alias("value")) for n in kept])
     return scored.select(*FEATURE_KEYS, F.inline(pairs))
 
@@ -451,7 +463,8 @@ def risk_query(spark, sf):
 
 def _split_training(spark, sf):
     filled, _, kept = _training(spark, sf)
-    keyed = md.stratified_split(settle(filled), "label", md.key_hash(["user_id", "label"]))
+    keyed = md.stratified_split(settle(filled), "label", md.key_hash(["user_id", "label"]),
+                                ties=["user_id", "seg_start_time"])
     keyed = settle(keyed)
     return keyed.filter("is_test = 0"), keyed.filter("is_test = 1"), kept
 
@@ -550,6 +563,11 @@ def cached(spark, sf):
     return st.cached(spark, folder, "markers", params, lambda: markers(spark, sf))
 
 
+def one_user(spark, sf):
+    """Rows of one entity, by a predicate that reaches the scan."""
+    return entity_rows(long_events(spark, sf), "user_id", cfg.ONE_USER)
+
+
 def bucket_store(spark, sf):
     path = f"{shared_dir(spark)}/buckets/{uuid.uuid4().hex}"
     st.write_by_bucket(long_events(spark, sf), path, "user_id", 16)
@@ -609,6 +627,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "zoh": zoh,
     "nearest_snap": snap,
     "segment_features": raw_features,
+    "segment_repeats": repeated_times,
     "filled_features": filled_features,
     "spread_stats": spread_stats,
     "label_means": label_means,
@@ -634,6 +653,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "param_sql": param_sql,
     "ensure_table": ensure_table,
     "cached": cached,
+    "one_user": one_user,
     "bucket_store": bucket_store,
     "item_dimension": item_dimension,
     "hours_between": hours_between,

@@ -11,8 +11,11 @@ MIN_HOURS = 12.0
 WINDOW_DAYS = 60
 FLAG_CODES = {"on_flag": ("click", "view"), "alt_flag": ("signup",),
               "end_flag": ("purchase", "error"), "special_flag": ("error",)}
-# A second reading of "click" and two channels derived from others.
-DERIVED = ["click", "ratio", "product"]
+# Interpolated values differ in their last bits: both engines round before the mode.
+MODE_DECIMALS = 9
+RETURN_FLAGS = ["A", "N", "R"]
+LINE_SEG_HOURS = 8760
+ONE_USER = 7
 FEATURE_CHANNELS = ["click", "error", "purchase", "signup", "view", "ratio", "product"]
 SPLIT_MULTIPLIER = 2654435761
 SPLIT_PRIME = 4294967291

@@ -4,23 +4,33 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.times import epoch_seconds, seconds_between
+
 
 def extract_interval(cohort: DataFrame, events: DataFrame, keys: Sequence[str], ts: str,
                      start: str, end: str, keep: Sequence[str] | None = None) -> DataFrame:
     """Events with ``start <= ts <= end`` for the matching cohort row.
 
-    One equi-join for all entities with the window as residual condition.  No
-    broadcast is forced: a stored cohort below Spark's broadcast threshold is
-    broadcast by its file size; a larger one joins by shuffle, where adaptive
-    execution splits a long entity.
+    Time is cut into cells as long as the average window, and both sides meet on the
+    keys and the cell: a key with many windows and many rows costs no pair of a window
+    and a row that lie cells apart, and windows take about two rows each.  No broadcast
+    is forced.  Windows without a limit, and those that end before they start, hold no row.
     """
-    windows = cohort.select(*keys, F.col(start).alias("_from"), F.col(end).alias("_to"),
-                            *[c for c in (keep or []) if c not in keys])
+    windows = (cohort.select(*keys, F.col(start).alias("_from"), F.col(end).alias("_to"),
+                             *[c for c in (keep or []) if c not in keys])
+               .filter(F.col("_from") <= F.col("_to")))
+    length = windows.agg(F.avg(seconds_between(F.col("_from"), F.col("_to")))).first()[0]
+    cell = int(max(1.0, length or 0.0)) + 1
+
+    def number(at: Column) -> Column:
+        return F.floor(epoch_seconds(at.cast("timestamp_ntz")) / F.lit(cell)).cast("bigint")
+    spread = windows.withColumn("_cell", F.explode(F.sequence(number(F.col("_from")), number(F.col("_to")))))
     inside = F.col(ts).between(F.col("_from"), F.col("_to"))
-    return events.join(windows, list(keys)).filter(inside).drop("_from", "_to")
+    return (events.withColumn("_cell", number(F.col(ts))).join(spread, [*keys, "_cell"])
+            .filter(inside).drop("_from", "_to", "_cell"))
 
 
 def join_dimension(df: DataFrame, dim: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:

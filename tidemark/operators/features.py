@@ -7,6 +7,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import settle
+
+FEW_LABELS = 10_000
 KEYS = ("label", "seg_start_time", "seg_end_time")
 
 
@@ -64,10 +67,19 @@ def align_and_fill(features: DataFrame, keys: Sequence[str], names: Sequence[str
     """Keys and the listed features in order; missing values and columns take the mean.
 
     The means are one number per listed feature; they enter the plan as literals,
-    so filling is a plain projection.
+    so filling is a plain projection.  A feature stored more than once must have one
+    mean, and a feature without a stored mean is an error.
     """
-    wanted = means.filter(F.col("feature").isin(list(names))).limit(len(names))
-    mean_of = {r["feature"]: r["mean"] for r in wanted.collect()}
+    stored = (means.filter(F.col("feature").isin(list(names))).groupBy("feature")
+              .agg(F.max("mean").alias("mean"), (~F.max("mean").eqNullSafe(F.min("mean"))).alias("odd")))
+    mean_of = {}
+    for r in stored.collect():
+        if r["odd"]:
+            raise ValueError(f"several means are stored for {r['feature']}")
+        mean_of[r["feature"]] = r["mean"]
+    absent = [n for n in names if n not in mean_of]
+    if absent:
+        raise ValueError(f"no mean is stored for {', '.join(absent)}")
     have = set(features.columns)
 
     def filled(n: str) -> Column:
@@ -78,9 +90,15 @@ def align_and_fill(features: DataFrame, keys: Sequence[str], names: Sequence[str
 
 def fill_by_label(features: DataFrame, keys: Sequence[str], names: Sequence[str],
                   label: str = "label") -> DataFrame:
-    """Missing values take the mean of their own segment label."""
-    means = label_means(features, names, label).withColumnsRenamed({n: f"_m_{n}" for n in names})
-    joined = features.join(means, label)
+    """Missing values take the mean of their own segment label.
+
+    A label has one row of means; they are broadcast if a count shows them few.  Pass
+    stored features: they are read twice.
+    """
+    means = settle(label_means(features, names, label)
+                   .withColumnsRenamed({n: f"_m_{n}" for n in names}))
+    few = means.limit(FEW_LABELS + 1).count() <= FEW_LABELS
+    joined = features.join(F.broadcast(means) if few else means, label)
     return joined.select(*keys, *[F.coalesce(n, f"_m_{n}").alias(n) for n in names])
 
 

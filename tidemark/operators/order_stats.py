@@ -13,17 +13,21 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stats import MODE_DECIMALS
 from ..functions.times import int_div
 from .sweep import CHUNK, sweep
 
 CELLS_PER_OCTAVE = 4096
+SMALLEST_OCTAVE = 1076.0
 
 
 def value_cell(v: Column) -> Column:
-    """Cell number that never decreases with the value; relative width 1/4096 octave."""
-    size = F.log2(F.lit(1.0) + F.abs(v)) * F.lit(float(CELLS_PER_OCTAVE))
-    return F.floor(F.signum(v) * size).cast("bigint")
+    """Cell number that never decreases with the value; relative width 1/4096 octave.
+
+    Even in the exponent down to the smallest doubles, so that values close to 0
+    spread over cells as well.
+    """
+    size = F.floor((F.log2(F.abs(v)) + F.lit(SMALLEST_OCTAVE)) * F.lit(float(CELLS_PER_OCTAVE)))
+    return F.when(v == 0, F.lit(0)).otherwise(F.signum(v) * size).cast("bigint")
 
 
 def _counts(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -47,7 +51,6 @@ def spread_median(rows: DataFrame, keys: Sequence[str], value: str,
 
 def spread_mode(rows: DataFrame, keys: Sequence[str], value: str, out: str = "mode") -> DataFrame:
     """Most frequent value per key, the smallest on ties."""
-    rounded = rows.withColumn(value, F.round(value, MODE_DECIMALS))
     best = F.max(F.struct(F.col("_n"), (-F.col("_v")).alias("_minus")))
-    return (_counts(rounded, keys, value).groupBy(*keys)
+    return (_counts(rows, keys, value).groupBy(*keys)
             .agg((-best["_minus"]).alias(out)))

@@ -113,7 +113,11 @@ def case(branches: Sequence[tuple[Column, Column]], otherwise: Column | None = N
 
 
 def rule_table(spark, rules: Sequence[LabelRule], units: Sequence[Units] = ()) -> DataFrame:
-    """One row per code: label, bounds and unit."""
+    """One row per code: label, bounds and unit.  A code in two rules is an error: a join
+    would double its rows."""
+    codes = [c for r in rules for c in r.codes]
+    if len(codes) != len(set(codes)):
+        raise ValueError(f"codes in several rules: {sorted({c for c in codes if codes.count(c) > 1})}")
     unit_of = {c: u.unit for u in units for c in u.codes}
     rows = []
     for r in rules:

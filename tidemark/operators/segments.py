@@ -6,10 +6,10 @@ all rows between its moved limits, both included.
 
 Rows are not compared with boundaries.  Cut the time before ``last`` into cells
 of length L: every row of a non-empty cell c lies inside segment c, whatever the
-snapping does, and the only rows a segment can share with others are the first
-and last row of a cell.  So a row's label is arithmetic, the moved limits follow
-from the first and last time of each cell, and the shared rows travel along with
-them.  No join touches the rows.
+snapping does, and the only rows a segment can share with others are those at the
+first and last time of a cell.  So a row's label is arithmetic, the moved limits
+follow from the first and last time of each cell, and only rows at a limit are
+looked up, by their time: all of them, however many share it.
 """
 
 from __future__ import annotations
@@ -59,17 +59,17 @@ def _limit(last: Column, j: Column, length: int) -> Column:
     return shift_micros(last, -j.cast("bigint") * F.lit(length).cast("bigint"))
 
 
-def _nearer(limit: Column, earlier: Column, later: Column, what: str) -> Column:
-    """``what`` field of the closer candidate; a tie goes to the earlier one."""
-    closer = (micros_between(earlier["t"], limit) <= micros_between(limit, later["t"]))
-    return (F.when(later.isNull(), earlier[what]).when(earlier.isNull(), later[what])
-            .when(closer, earlier[what]).otherwise(later[what]))
+def _nearer(limit: Column, earlier: Column, later: Column) -> Column:
+    """The closer candidate; a tie goes to the earlier one."""
+    closer = micros_between(earlier, limit) <= micros_between(limit, later)
+    return (F.when(later.isNull(), earlier).when(earlier.isNull(), later)
+            .when(closer, earlier).otherwise(later))
 
 
-def snapped_cells(spanned: DataFrame, entity: Sequence[str], channel: str, ts: str, value: str,
+def snapped_cells(spanned: DataFrame, entity: Sequence[str], channel: str, ts: str,
                   seg_hours: float, series: str | None = None,
                   max_segments: int | None = None) -> DataFrame:
-    """Per (entity, channel, label): unmoved and moved limits, values at the moved ones.
+    """Per (entity, channel, label): unmoved and moved limits.
 
     Only non-empty cells are shuffled.  Each one sees its two non-empty
     neighbours and emits its own label and those of the empty cells behind it
@@ -80,14 +80,11 @@ def snapped_cells(spanned: DataFrame, entity: Sequence[str], channel: str, ts: s
     keys = [*entity, channel, *([series] if series else [])]
     cells = (spanned.withColumn("_c", _cell(ts, length))
              .groupBy(*keys, "_first_ts", "_last_ts", "_c")
-             .agg(F.min(ts).alias("_lo_t"), F.min_by(value, ts).alias("_lo_v"),
-                  F.max(ts).alias("_hi_t"), F.max_by(value, ts).alias("_hi_v")))
+             .agg(F.min(ts).alias("_lo"), F.max(ts).alias("_hi")))
     along = Window.partitionBy(*keys).orderBy("_c")
-    lo = F.struct(F.col("_lo_t").alias("t"), F.col("_lo_v").alias("v"))
-    hi = F.struct(F.col("_hi_t").alias("t"), F.col("_hi_v").alias("v"))
     seen = cells.select(
-        *keys, "_first_ts", "_last_ts", "_c", lo.alias("_lo"), hi.alias("_hi"),
-        F.lag(lo).over(along).alias("_lo_nearer"), F.lead(hi).over(along).alias("_hi_farther"),
+        *keys, "_first_ts", "_last_ts", "_c", "_lo", "_hi",
+        F.lag("_lo").over(along).alias("_lo_nearer"), F.lead("_hi").over(along).alias("_hi_farther"),
         F.lag("_c").over(along).alias("_c_nearer"), F.lead("_c").over(along).alias("_c_farther"))
     top = _segment_count(F.col("_first_ts"), F.col("_last_ts"), length)
     if max_segments is not None:
@@ -113,8 +110,7 @@ def snapped_cells(spanned: DataFrame, entity: Sequence[str], channel: str, ts: s
         *[x.alias(f"_{side}_{when}") for side, pair in candidates.items()
           for when, x in zip(("earlier", "later"), pair)])
     moved = [_nearer(F.col(f"seg_{side}_time"), F.col(f"_{side}_earlier"),
-                     F.col(f"_{side}_later"), field).alias(f"{side}_{name}")
-             for side in candidates for field, name in (("t", "ts"), ("v", "value"))]
+                     F.col(f"_{side}_later")).alias(f"{side}_ts") for side in candidates]
     return limits.select(*keys, "label", "seg_start_time", "seg_end_time", *moved)
 
 
@@ -126,7 +122,7 @@ def nearest_snap(long: DataFrame, entity: Sequence[str], channel: str, ts: str,
                  seg_hours: float, chunk_hours: float = 24.0) -> DataFrame:
     """Segment limits and the nearest existing times they move to."""
     spanned = with_span(long, entity, ts, chunk_hours)
-    return snapped_cells(spanned, entity, channel, ts, value, seg_hours).select(
+    return snapped_cells(spanned, entity, channel, ts, seg_hours).select(
         *entity, channel, "label", "seg_start_time", "seg_end_time", "start_ts", "end_ts")
 
 
@@ -135,7 +131,7 @@ def segment_members(spanned: DataFrame, entity: Sequence[str], channel: str, ts:
                     series: str | None = None) -> DataFrame:
     """One row per (row, segment that covers it), with unmoved segment limits.
 
-    Times must be unique per entity, channel and ``series``.
+    Rows that share a boundary time belong to the same segments, all of them.
     """
     length = int(seg_hours * HOUR_MICROS)
     keys = [*entity, channel, *([series] if series else [])]
@@ -148,55 +144,68 @@ def segment_members(spanned: DataFrame, entity: Sequence[str], channel: str, ts:
            .withColumn("seg_start_time", _limit(F.col("_last_ts"), label, length))
            .withColumn("seg_end_time", _limit(F.col("_last_ts"), label - 1, length))
            .withColumn("label", label.cast("int")).select(*out))
-    limits = snapped_cells(spanned, entity, channel, ts, value, seg_hours, series, max_segments)
+    limits = snapped_cells(spanned, entity, channel, ts, seg_hours, series, max_segments)
     low_outside = F.col("start_ts") <= F.col("seg_start_time")
     high_outside = ((F.col("end_ts") > F.col("seg_end_time"))
                     | (F.col("end_ts") <= F.col("seg_start_time")))
     low_above = F.col("start_ts") > F.col("seg_end_time")
     shared = F.array(
-        F.struct((low_outside | low_above).alias("out"), F.col("start_ts").alias("t"),
-                 F.col("start_value").alias("v")),
+        F.struct((low_outside | low_above).alias("out"), F.col("start_ts").alias("t")),
         F.struct((high_outside & (F.col("end_ts") != F.col("start_ts"))).alias("out"),
-                 F.col("end_ts").alias("t"), F.col("end_value").alias("v")))
-    borrowed = (limits.withColumn("_p", F.explode(shared)).filter("_p.out")
-                .withColumn(ts, F.col("_p.t")).withColumn(value, F.col("_p.v")).select(*out))
+                 F.col("end_ts").alias("t")))
+    points = limits.withColumn("_p", F.explode(shared)).filter("_p.out").select(
+        *[F.col(k).alias(f"_p_{k}") for k in keys], F.col("_p.t").alias("_p_t"), "label",
+        "seg_start_time", "seg_end_time")
+    same = F.col(ts) == F.col("_p_t")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_p_{k}"))
+    borrowed = spanned.select(*keys, ts, value).join(points, same).select(*out)
     return own.unionByName(borrowed)
 
 
 def segment_stats(members: DataFrame, entity: Sequence[str], channel: str, value: str,
-                  stats: Sequence[str], spread: bool = False) -> DataFrame:
+                  stats: Sequence[str], spread: bool = False,
+                  mode_decimals: int | None = None) -> DataFrame:
     """Long statistics: one row per (entity, label, channel).
 
-    Times are unique within a segment's channel, so a segment holds at most one
-    row per clock tick of its length, whatever the size of the input, and the
-    built-in median and mode are safe for charted data.  Where the clock is so
-    fine that one segment can exceed a task, ``spread`` computes both, equally
-    exact, without gathering a group.
+    The built-in median and mode keep a segment's distinct values in memory, which
+    suits charted data.  Where one segment can exceed a task, ``spread`` computes
+    both, equally exact, without gathering a group.  ``mode_decimals`` rounds values
+    before the mode, for interpolated ones that differ in their last bits.
     """
     keys = [*entity, "label", "seg_start_time", "seg_end_time", channel]
     apart = {"median": spread_median, "mode": spread_mode} if spread else {}
+    of = {s: F.round(value, mode_decimals) if s == "mode" and mode_decimals is not None
+          else F.col(value) for s in stats}
     out = members.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_rows"),
-        *[stat(s, F.col(value)).alias(s) for s in stats if s not in apart])
+        *[stat(s, of[s]).alias(s) for s in stats if s not in apart])
     for s in stats:
         if s in apart:
-            out = out.join(apart[s](members, keys, value, s), keys, "left")
+            rows = members.withColumn(value, of[s])
+            out = out.join(apart[s](rows, keys, value, s), keys, "left")
     return out.select(*keys, *stats)
 
 
 def widen_stats(stats_long: DataFrame, entity: Sequence[str], channel: str,
                 channels: Sequence[str], stats: Sequence[str]) -> DataFrame:
-    """One row per segment, columns ``{channel}_{stat}`` for the given lists."""
-    return stats_long.groupBy(*entity, "label", "seg_start_time", "seg_end_time").agg(
-        *[F.max(F.when(F.col(channel) == c, F.col(s))).alias(f"{c}_{s}")
-          for c in channels for s in stats])
+    """One row per segment, columns ``{channel}_{stat}`` for the given lists.
+
+    One aggregate per channel carries all its statistics.
+    """
+    keys = [*entity, "label", "seg_start_time", "seg_end_time"]
+    both = F.struct(*stats)
+    wide = stats_long.groupBy(*keys).agg(
+        *[F.max(F.when(F.col(channel) == c, both)).alias(f"_{i}") for i, c in enumerate(channels)])
+    return wide.select(*keys, *[F.col(f"_{i}.{s}").alias(f"{c}_{s}")
+                                for i, c in enumerate(channels) for s in stats])
 
 
 def segment_features(long: DataFrame, entity: Sequence[str], channel: str, ts: str, value: str,
                      channels: Sequence[str], seg_hours: float = 3.0,
                      stats: Sequence[str] = ("mean",), max_segments: int | None = None,
                      series: str | None = None, chunk_hours: float = 24.0,
-                     spread: bool = False) -> DataFrame:
+                     spread: bool = False, mode_decimals: int | None = None) -> DataFrame:
     """Wide feature table, one row per (entity, segment).
 
     ``long`` may already carry ``_first_ts`` and ``_last_ts``; otherwise they are
@@ -206,5 +215,5 @@ def segment_features(long: DataFrame, entity: Sequence[str], channel: str, ts: s
     if "_last_ts" not in long.columns:
         known = with_span(known, entity, ts, chunk_hours)
     members = segment_members(known, entity, channel, ts, value, seg_hours, max_segments, series)
-    per_channel = segment_stats(members, entity, channel, value, stats, spread)
+    per_channel = segment_stats(members, entity, channel, value, stats, spread, mode_decimals)
     return widen_stats(per_channel, entity, channel, channels, stats)

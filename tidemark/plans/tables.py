@@ -56,12 +56,17 @@ def filled_series(long: DataFrame, entity: Sequence[str], channel: str, ts: str,
 def feature_table(long: DataFrame, entity: Sequence[str], channel: str, ts: str, value: str,
                   channels: Sequence[str], derived: Sequence[tuple[str, Column, int]] = (),
                   seg_hours: float = icu.SEG_HOURS, stats: Sequence[str] = icu.STATS,
-                  max_segments: int | None = None, chunk_hours: float = 24.0) -> DataFrame:
-    """Impute, derive, segment and summarise: one row per (entity, segment)."""
+                  max_segments: int | None = None, chunk_hours: float = 24.0,
+                  mode_decimals: int | None = None) -> DataFrame:
+    """Impute, derive, segment and summarise: one row per (entity, segment).
+
+    Interpolated values may differ in their last bits; ``mode_decimals`` rounds them
+    before the mode.
+    """
     names = list(dict.fromkeys([*channels, *[n for n, _, _ in derived]]))
     filled = filled_series(long, entity, channel, ts, value, channels, derived, chunk_hours)
     return segment_features(filled, entity, channel, ts, value, names, seg_hours, stats,
-                            max_segments, series="_series")
+                            max_segments, series="_series", mode_decimals=mode_decimals)
 
 
 def training_table(features: DataFrame, names: Sequence[str], total_hours: float,
@@ -90,7 +95,8 @@ def scoring_table(long: DataFrame, means: DataFrame | None, names: Sequence[str]
                   entity: Sequence[str], channel: str, ts: str, value: str,
                   channels: Sequence[str], derived: Sequence[tuple[str, Column, int]] = (),
                   seg_hours: float = icu.SEG_HOURS, total_hours: float = icu.SCORING_HOURS,
-                  stats: Sequence[str] = icu.STATS, chunk_hours: float = 24.0) -> DataFrame | None:
+                  stats: Sequence[str] = icu.STATS, chunk_hours: float = 24.0,
+                  mode_decimals: int | None = None) -> DataFrame | None:
     """Features of the last ``total_hours``, aligned to the trained names.
 
     None when there are no stored means.  Only the segments kept are computed.
@@ -98,7 +104,7 @@ def scoring_table(long: DataFrame, means: DataFrame | None, names: Sequence[str]
     if means is None:
         return None
     table = feature_table(long, entity, channel, ts, value, channels, derived, seg_hours, stats,
-                          int(total_hours // seg_hours), chunk_hours)
+                          int(total_hours // seg_hours), chunk_hours, mode_decimals)
     return ft.align_and_fill(table, ["label", *entity, "seg_start_time", "seg_end_time"], names,
                              means)
 

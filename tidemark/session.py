@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -29,17 +27,12 @@ def build_session(app: str = "tidemark", master: str | None = None,
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder (``spark.checkpoint.dir``).
+    """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only a local master falls back to a temporary folder; on a cluster a
-    machine-local folder would be lost with its executor.
+    Where none is set, a folder in the warehouse, which all executors share as well.
     """
-    set_by_cluster = spark.conf.get("spark.checkpoint.dir", None)
-    current = set_by_cluster or spark.sparkContext.getCheckpointDir()
-    if current is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        current = tempfile.mkdtemp(prefix="tidemark-")
+    current = (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+               or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(current)
     return current

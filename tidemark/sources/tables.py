@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from .. import schema as schemas
 
@@ -42,11 +42,13 @@ def ensure_table(spark: SparkSession, name: str, build: Build, rebuild: bool = F
 
     ``path`` places its files outside the warehouse.
     """
-    if rebuild:
+    if rebuild or not table_exists(spark, name):
+        # Built in a table of its own first: a build that fails leaves the old one alone.
+        fresh = f"{name}_{uuid.uuid4().hex}"
+        writer = build().write.partitionBy(*partition_by)
+        (writer.option("path", path) if path else writer).saveAsTable(fresh)
         drop_table(spark, name)
-    if not table_exists(spark, name):
-        writer = build().write.mode("ignore").partitionBy(*partition_by)
-        (writer.option("path", path) if path else writer).saveAsTable(name)
+        spark.sql(f"ALTER TABLE {fresh} RENAME TO {name}")
     return spark.table(name)
 
 
@@ -62,12 +64,15 @@ def query_with(spark: SparkSession, query: str,
     return spark.sql(query, args=dict(args or {}))
 
 
-def _path_exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.parquet(path).schema
-        return True
-    except AnalysisException:
-        return False
+def _file_exists(spark: SparkSession, path: str) -> bool:
+    """Ask the path's own file system, whichever that is."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+
+def _finished(spark: SparkSession, folder: str) -> bool:
+    """Does the folder hold a whole result?  A write sets its marker when all parts are there."""
+    return _file_exists(spark, f"{folder.rstrip('/')}/_SUCCESS")
 
 
 def cached(spark: SparkSession, folder: str, name: str, params: Mapping[str, object],
@@ -80,7 +85,7 @@ def cached(spark: SparkSession, folder: str, name: str, params: Mapping[str, obj
         return build()
     key = hashlib.sha256(json.dumps(dict(params), sort_keys=True, default=str).encode())
     path = f"{folder.rstrip('/')}/{name}-{key.hexdigest()[:16]}"
-    if not _path_exists(spark, path):
+    if not _finished(spark, path):
         build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
@@ -124,7 +129,7 @@ def save_table(df: DataFrame, path: str) -> None:
 
 def load_table(spark: SparkSession, path: str) -> DataFrame | None:
     """A stored feature or means table, or None where there is none."""
-    return spark.read.parquet(path) if _path_exists(spark, path) else None
+    return spark.read.parquet(path) if _finished(spark, path) else None
 
 
 def save_model(model: PipelineModel, path: str) -> None:
@@ -132,13 +137,9 @@ def save_model(model: PipelineModel, path: str) -> None:
 
 
 def load_model(path: str) -> PipelineModel | None:
-    """A stored model, or None where there is none."""
-    try:
-        return PipelineModel.load(path)
-    except Exception as missing:  # the reader raises a JVM error for an absent path
-        if "does not exist" in str(missing) or "not found" in str(missing).lower():
-            return None
-        raise
+    """A stored model, or None where there is none; a damaged one is an error."""
+    spark = SparkSession.getActiveSession()
+    return PipelineModel.load(path) if _file_exists(spark, path) else None
 
 
 def read_items(spark: SparkSession, path: str) -> DataFrame:
