@@ -135,15 +135,15 @@ def first_value_query(spark, sf):
     return first_values(spark, sf).withColumn("bmi", r6("bmi"))
 
 
-def _nearest(spark, sf, flags=None, found=None):
-    flags = event_flags(spark, sf) if flags is None else flags
-    found = event_episodes(spark, sf, flags) if found is None else found
+def _nearest(spark, sf, flags, found):
     return nearest_end_events(flags, found, "user_id", "ts", "special_flag",
                               event_col="event_ts")
 
 
 def nearest_end(spark, sf):
-    return _nearest(spark, sf).withColumn("duration_hours", r6("duration_hours"))
+    flags = settle(event_flags(spark, sf))
+    found = settle(event_episodes(spark, sf, flags))
+    return _nearest(spark, sf, flags, found).withColumn("duration_hours", r6("duration_hours"))
 
 
 def best_per_key(spark, sf):
@@ -287,12 +287,12 @@ def fill(spark, sf):
 
 
 def channel_sum(spark, sf):
-    out = sr.derive_sum(_imputed(spark, sf), USER, *LONG, ["click", "error", "view"], "total")
+    out = sr.derive_sum(settle(_imputed(spark, sf)), USER, *LONG, ["click", "error", "view"], "total")
     return _rounded(out, ["value"])
 
 
 def channel_ratio(spark, sf):
-    out = sr.derive_ratio_product(_imputed(spark, sf), USER, *LONG, "click", "view", 1000.0,
+    out = sr.derive_ratio_product(settle(_imputed(spark, sf)), USER, *LONG, "click", "view", 1000.0,
                                   ("ratio", "product"))
     return _rounded(out, ["value"])
 
@@ -589,8 +589,7 @@ def item_dimension(spark, sf):
 
 def hours_between(spark, sf):
     """Completed hours from each user's first event."""
-    spans = settle(markers(spark, sf))
-    joined = events(spark, sf).join(spans, "user_id")
+    joined = events(spark, sf).join(markers(spark, sf), "user_id")
     return joined.select("event_id", whole_hours(F.col("first_ts"), F.col("ts")).alias("hours"))
 
 
