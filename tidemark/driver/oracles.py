@@ -259,6 +259,14 @@ samples AS (
   SELECT record, channel, value, TIMESTAMP '{cfg.SIGNAL_START}'
     + to_seconds(CAST(i * round_even(1 / {cfg.SIGNAL_FS}::DOUBLE, 0) AS BIGINT)) AS time
   FROM opened)"""
+# The test part of the training table: the lowest fifth of each label by a mixed key.
+_TEST = f"""{RAW_LONG}, {SEGS},
+numbered AS (
+  SELECT *, count(*) OVER (PARTITION BY label) AS n, row_number() OVER (PARTITION BY label
+      ORDER BY (user_id * 1000 + label) * {cfg.SPLIT_MULTIPLIER} % {cfg.SPLIT_PRIME}, user_id) AS nth
+  FROM segs WHERE label <= {NEAR}),
+test AS (SELECT * FROM numbered WHERE nth <= floor(n * 0.2::DOUBLE + 0.5))"""
+
 _REPORT = """sides AS (
   SELECT quality AS class, 1 AS support, 0 AS named,
     CASE WHEN quality = toxic THEN 1 ELSE 0 END AS hits FROM labels
@@ -531,6 +539,22 @@ SELECT doc_id, quality, toxic, CASE WHEN rn <= floor(n * 0.2::DOUBLE + 0.5) THEN
 FROM (SELECT *, count(*) OVER (PARTITION BY quality) AS n, row_number() OVER (
     PARTITION BY quality ORDER BY (doc_id * {cfg.SPLIT_MULTIPLIER}) % {cfg.SPLIT_PRIME}) AS rn
   FROM labels)""",
+    **{name: f"""SELECT * FROM (VALUES {', '.join(rows)}) t({columns})""" for name, rows, columns in (
+        ("rf_train", [f"({i}, {d}, {n}, TRUE, TRUE, 1::BIGINT, TRUE)" for i, (d, n) in enumerate(
+            (d, n) for d in cfg.FOREST_GRID["maxDepth"] for n in cfg.FOREST_GRID["numTrees"])],
+         "candidate, max_depth, num_trees, in_range, has_spread, n_best, best_is_top"),
+        ("gbt_train", [f"({i}, {n}, TRUE, TRUE, 1::BIGINT, TRUE)" for i, n in
+                       enumerate(cfg.BOOST_GRID["maxIter"])],
+         "candidate, max_iter, in_range, has_spread, n_best, best_is_top"))},
+    "score": f"""WITH {_TEST}
+SELECT user_id, seg_start_time, seg_end_time, label AS y_true, TRUE AS known_label,
+  TRUE AS own_risk FROM test""",
+    "score_report": f"""WITH {_TEST}
+SELECT label AS class, count(*) AS support, TRUE AS precision_in_range, TRUE AS recall_in_range,
+  TRUE AS f1_in_range FROM test GROUP BY label""",
+    "top_features": f"""WITH {_TRAIN}
+SELECT CAST(unnest(generate_series(1, (SELECT CAST(least(20, sum(kept)) AS BIGINT) FROM kept))) AS INTEGER) AS rank,
+  TRUE AS known, TRUE AS in_range""",
     "eval_report": f"""WITH {_REPORT}
 SELECT class, support, {r6('precision')} AS precision, {r6('recall')} AS recall,
   {r6('coalesce(2 * precision * recall / nullif(precision + recall, 0), 0)')} AS f1

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.risk import risk
@@ -463,47 +463,76 @@ def risk_query(spark, sf):
 
 def _split_training(spark, sf):
     filled, _, kept = _training(spark, sf)
-    keyed = md.stratified_split(settle(filled), "label", md.key_hash(["user_id", "label"]),
-                                ties=["user_id", "seg_start_time"])
-    keyed = settle(keyed)
+    mixed = ((F.col("user_id") * 1000 + F.col("label")) * F.lit(cfg.SPLIT_MULTIPLIER)
+             % F.lit(cfg.SPLIT_PRIME) * F.lit(1 << 31).cast("bigint"))
+    keyed = settle(md.stratified_split(settle(filled), "label", mixed, ties=["user_id"]))
     return keyed.filter("is_test = 0"), keyed.filter("is_test = 1"), kept
 
 
+def _candidates(spark, found, names):
+    """What any search must give: its candidates, sound scores and one best."""
+    table_ = md.candidate_table(spark, found)
+    top = Window.partitionBy(F.lit(1))  # as many rows as candidates
+    return table_.select(
+        "candidate", *[F.regexp_extract("params", rf"\b{n}=(\d+)", 1).cast("int").alias(c)
+                       for c, n in names.items()],
+        F.col("mean").between(0, 1).alias("in_range"), (F.col("two_std") >= 0).alias("has_spread"),
+        F.sum("best").over(top).alias("n_best"),
+        ((F.col("best") == 0) | (F.col("mean") == F.max("mean").over(top))).alias("best_is_top"))
+
+
 def rf_train(spark, sf):
-    """Grid search over random forests; candidates with their fold scores."""
+    """Grid search over random forests; candidates and checks of their fold scores."""
     train, _, kept = _split_training(spark, sf)
-    _, found = md.fit_grid(train, kept, "label", md.random_forest(),
-                           {"maxDepth": [2, 4], "numTrees": [10]}, "macro")
-    return md.candidate_table(spark, found)
+    _, found = md.fit_grid(train, kept, "label", md.random_forest(), cfg.FOREST_GRID, "macro")
+    return _candidates(spark, found, {"max_depth": "maxDepth", "num_trees": "numTrees"})
 
 
 def gbt_train(spark, sf):
-    """Grid search over boosted trees; candidates with their fold scores."""
+    """Grid search over boosted trees; candidates and checks of their fold scores."""
     train, _, kept = _split_training(spark, sf)
-    _, found = md.fit_grid(train, kept, "label", md.boosted_trees(), {"maxIter": [2, 4]},
-                           "weighted", folds=2)
-    return md.candidate_table(spark, found)
+    _, found = md.fit_grid(train, kept, "label", md.boosted_trees(), cfg.BOOST_GRID, "macro")
+    return _candidates(spark, found, {"max_iter": "maxIter"})
 
 
-def score(spark, sf):
-    """Fit on the training part, store and load the model, score the test part."""
+def _best_forest(spark, sf):
+    """Best forest of the search, stored and loaded, with both parts and the names."""
     train, test, kept = _split_training(spark, sf)
     path = f"{shared_dir(spark)}/models/{uuid.uuid4().hex}"
-    estimator = md.random_forest().setNumTrees(10).setMaxDepth(4)
-    st.save_model(md.fit(train, kept, "label", estimator), path)
-    return tb.score(st.load_model(path), test, USER)
+    best, _ = md.fit_grid(train, kept, "label", md.random_forest(), cfg.FOREST_GRID, "macro")
+    st.save_model(best, path)
+    return st.load_model(path), test, kept
+
+
+def score(spark, sf):
+    """Score the test part; are the labels known, and is the risk that of the predictions?"""
+    model, test, _ = _best_forest(spark, sf)
+    scored = settle(tb.score(model, test, USER))
+    own = Window.partitionBy("user_id")
+    low, top = F.min("y_pred").over(own), F.max("y_pred").over(own)
+    again = F.when(low < top, (F.log(top) - F.log("y_pred")) / (F.log(top) - F.log(low)))
+    return scored.select(
+        "user_id", "seg_start_time", "seg_end_time", "y_true",
+        F.col("y_pred").between(1, cfg.TOTAL_HOURS // cfg.SEG_HOURS).alias("known_label"),
+        r6("ser_risk").eqNullSafe(r6(again)).alias("own_risk"))
 
 
 def score_report(spark, sf):
-    train, test, kept = _split_training(spark, sf)
-    model = md.fit(train, kept, "label", md.random_forest().setNumTrees(10).setMaxDepth(4))
-    return md.class_report(md.predict(model, test), "label", "y_pred")
+    """Supports of the test part by class, with sound precision and recall."""
+    model, test, _ = _best_forest(spark, sf)
+    report = md.class_report(md.predict(model, test), "label", "y_pred")
+    return report.select("class", "support", *[F.col(c).between(0, 1).alias(f"{c}_in_range")
+                                               for c in ("precision", "recall", "f1")])
 
 
 def top_features(spark, sf):
-    train, _, kept = _split_training(spark, sf)
-    model = md.fit(train, kept, "label", md.random_forest().setNumTrees(10).setMaxDepth(4))
-    return md.importance(model, kept, spark, 20)
+    """Ranks of the most important features: known names, shares that never grow."""
+    model, _, kept = _best_forest(spark, sf)
+    best = md.importance(model, kept, spark, 20)
+    order = Window.orderBy(F.desc("importance"), "feature")  # 20 rows
+    return best.select(
+        F.row_number().over(order).alias("rank"), F.col("feature").isin(kept).alias("known"),
+        F.col("importance").between(0, 1).alias("in_range"))
 
 
 # --- sources -------------------------------------------------------------------------------
