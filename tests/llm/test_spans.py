@@ -97,6 +97,9 @@ def test_disclosing_terms(make):
     # Wherever it occurs; the prefix is told by other words too, so the term is generalised or removed.
     assert [s["start"] for s in rows[100]["term"]] == [0]
     assert rows[10]["term"] == [] and rows[10]["clean"] == rows[10]["text"]
+    # Rows of one id and text are one document.
+    again = privacy.sanitise(make(near + far + [far[3]] * 20 + [(100, "Zephyrine was here")] * 9)).collect()
+    assert {r["id"]: r["term"] for r in again} == {i: r["term"] for i, r in rows.items()}
 
 
 def test_disclosure_by_brute_force(make):

@@ -102,17 +102,17 @@ def near_terms(found: DataFrame) -> DataFrame:
 def disclosing_terms(found: DataFrame, threshold: float = DISCLOSURE) -> tuple[DataFrame, DataFrame]:
     """(term, action) of all terms that disclose an entity, and (id, key, term) where they occur.
 
-    ``found`` has id, key, text and the base spans, a row per distinct document.
+    ``found`` has id, key, text and the base spans; rows of one id and text are one document.
     Disclosure is log(docs * N / (of_term * of_entity)) / log(N / of_entity), of at most 1.
     """
     pairs = store(near_terms(found))
     candidates = store(pairs.select("term").distinct())
     spread = found.select("id", "key", F.explode(_terms(F.col("text"))).alias("term"))
-    total = found.count()
+    total = found.select("id", "key").distinct().count()
     if small_enough(candidates, 0):
         placed = store(spread.limit(0))
     else:
-        placed = store(join_sized(spread, candidates, "term", "left_semi", BROADCAST_ROWS))
+        placed = store(join_sized(spread, candidates, "term", "left_semi", BROADCAST_ROWS).distinct())
     of_term = placed.groupBy("term").agg(F.count(F.lit(1)).alias("of_term"))
     n = F.lit(float(total))
     share = (F.log(F.col("docs") * n / (F.col("of_term") * F.col("of_entity")))
