@@ -193,15 +193,16 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
           label_id: str = "doc_id", label_col: str = "quality", train_docs: int = TRAIN_DOCS) -> Field | None:
     """Field from documents labelled good (1) or bad (0); None where one kind is absent.
 
-    Lines take their document's label.  At most about ``train_docs`` labelled documents,
+    Lines take their document's label; the better one where several are given.  At most about ``train_docs`` labelled documents,
     chosen by hash of the id, are fitted; their lines' features reach the driver.
     """
     known = labels.filter(F.col(label_col).isin(0, 1) & F.col(label_id).isNotNull()).select(
-        F.col(label_id).alias("id"), F.col(label_col).cast("int").alias("good")).dropDuplicates(["id"])
+        F.col(label_id).cast("string").alias("id"), F.col(label_col).cast("int").alias("good")).groupBy("id").agg(
+        F.max("good").alias("good"))
     part = max(1, known.count() // train_docs)
     chosen = known.filter(F.pmod(F.xxhash64("id"), F.lit(part)) == 0)
     texts = docs.filter(F.col(text_col).isNotNull()).select(
-        F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).filter(
+        F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("binary").alias("text")).filter(
         F.pmod(F.xxhash64("id"), F.lit(part)) == 0)
     sample = texts.join(chosen, "id").select("text", "good")
 
