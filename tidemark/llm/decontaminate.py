@@ -58,11 +58,11 @@ def inverse_frequencies(docs: DataFrame, text_col: str = "text") -> np.ndarray:
             names=["feature", "n"])
     texts = docs.select(F.col(text_col).cast("binary").alias("text"))
     sums = (texts.mapInArrow(count, "feature bigint, n bigint")
-            .groupBy("feature").agg(F.sum("n").alias("n")).toPandas())
-    found = dict(zip(sums["feature"], sums["n"]))
-    rows = found.pop(-1, 0)
+            .groupBy("feature").agg(F.sum("n").alias("n")).toArrow())
+    place, n = sums["feature"].to_numpy(), sums["n"].to_numpy()
+    rows = n[place < 0].sum()
     df = np.zeros(FEATURES)
-    df[np.fromiter(found, np.int64, len(found))] = np.fromiter(found.values(), np.float64, len(found))
+    df[place[place >= 0]] = n[place >= 0]
     return np.log((rows + 1.0) / (df + 1.0)).astype(np.float32)
 
 
@@ -124,13 +124,13 @@ def _matrix(words: list[np.ndarray], idf: np.ndarray, column: np.ndarray, width:
 def _summed(items: DataFrame, part, shape: tuple[int, int]) -> np.ndarray:
     """Sum over partitions of a matrix that ``part`` makes of a partition's items."""
     def run(batches):
-        total = np.zeros(shape)
+        total = np.zeros(shape, np.float32)
         for batch in batches:
             total += part([np.frombuffer(b, np.uint64) for b in batch.column(0).to_pylist()])
-        yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float64).tobytes()])], names=["m"])
-    out = np.zeros(shape)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], names=["m"])
+    out = np.zeros(shape, np.float32)
     for row in items.select("words").mapInArrow(run, "m binary").toLocalIterator():
-        out += np.frombuffer(row["m"], np.float64).reshape(shape)
+        out += np.frombuffer(row["m"], np.float32).reshape(shape)
     return out
 
 
@@ -149,7 +149,8 @@ def fit(items: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int = 7) -> L
     width = len(features)
     passages, item_of = _matrix(words, idf, column, width)
     rank = max(1, min(rank, width, len(passages)))
-    test = np.linalg.qr(np.random.default_rng(seed).standard_normal((width, min(width, rank + EXTRA))))[0]
+    test = np.linalg.qr(np.random.default_rng(seed).standard_normal(
+        (width, min(width, rank + EXTRA)), np.float32))[0]
 
     def product(q):
         def part(some):

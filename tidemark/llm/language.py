@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -84,13 +85,12 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
                 names=["lang", "bucket", "n"])
     counts = (labelled.mapInArrow(count, "lang string, bucket bigint, n bigint")
               .groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
-    sums = counts.toPandas()
-    names = sorted(sums["lang"].unique())
+    sums = counts.toArrow()
+    names = sorted(sums["lang"].unique().to_pylist())
     table = np.full((BUCKETS, len(names)), smoothing)
-    place = {n: i for i, n in enumerate(names)}
-    np.add.at(table, (sums["bucket"].to_numpy(np.int64), sums["lang"].map(place).to_numpy(np.int64)),
-              sums["n"].to_numpy(np.float64))
-    return Languages(list(names), (table / table.sum(axis=0)).astype(np.float32))
+    place = pc.index_in(sums["lang"], pa.array(names, pa.string())).to_numpy()
+    np.add.at(table, (sums["bucket"].to_numpy(), place), sums["n"].to_numpy())
+    return Languages(names, (table / table.sum(axis=0)).astype(np.float32))
 
 
 def _em(share: np.ndarray, n: np.ndarray, first: np.ndarray, begin: np.ndarray,
