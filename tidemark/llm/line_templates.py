@@ -74,14 +74,15 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     support = (spread.groupBy("leaf", "at", "word").agg(F.sum("docs").alias("support"))
                .filter((F.col("support") >= min_docs) & (F.col("word") != VARIABLE))
                .select("leaf", "at", "word", F.lit(True).alias("fixed")))
-    fields = spread.join(support, ["leaf", "at", "word"], "left")
+    # Stored tables on the joins' small sides: a hot key is broadcast, or split by Spark.
+    fields = join_sized(spread, store(support), ["leaf", "at", "word"], "left", BROADCAST_ROWS)
     field = F.when(F.col("fixed"), F.xxhash64("at", "word")).otherwise(F.xxhash64("at", F.lit(VARIABLE)))
     templates = (fields.groupBy("leaf", "hash")
                  .agg(F.bit_xor(field).alias("template"), F.count("fixed").alias("fixed"),
                       F.count(F.lit(1)).alias("words"))
                  .filter(F.col("fixed") >= F.col("words") * F.lit(min_fixed))
                  .select("leaf", "hash", "template"))
-    members = store(long.join(templates, ["leaf", "hash"])
+    members = store(join_sized(long, store(templates), ["leaf", "hash"], "inner", BROADCAST_ROWS)
                     .select("leaf", "template", "id", "key", "at"))
     place = F.struct(F.col("id").isNull().alias("unnamed"), "id", "key", "at")
     # Twice: per document first, so that a common template's documents are counted in parts.
@@ -90,7 +91,7 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                                               F.min(place).alias("first"))
              .filter(F.col("docs") >= min_docs))
     first = F.col("first")
-    dropped = members.join(often, ["leaf", "template"]).filter(
+    dropped = join_sized(members, store(often), ["leaf", "template"], "inner", BROADCAST_ROWS).filter(
         ~(F.col("id").eqNullSafe(first["id"]) & (F.col("key") == first["key"])
           & (F.col("at") == first["at"])))
     return lines, dropped.select("id", "key", "at", "leaf", "template")
