@@ -159,6 +159,25 @@ def test_line_templates(spark, make):
     assert line_templates.drop_recurring(make([])).count() == 0
 
 
+def test_long_lines_of_two_documents(spark, make):
+    """A long line goes from the second document on; short ones and the last copy stay."""
+    rng = np.random.default_rng(37)
+    line = {n: prose(n, rng) for n in (8, 19, 20, 60)}
+    own = [prose(100, rng) for _ in range(9)]
+    rows = [(0, "\n".join([own[0], line[60], line[8], line[60]])), (1, "\n".join([line[60], own[1], line[8]])),
+            (2, own[2] + "\n" + line[20]), (3, own[3] + "\n  " + line[20].replace(" ", "  ")),
+            (4, own[4] + "\n" + line[19]), (5, own[5] + "\n" + line[19]), (None, own[2]),
+            # 7 repeats 6 but for a line of its own, which 8 shows too: one of the two must keep it.
+            (6, own[6] + "\n" + own[7]), (7, own[6] + "\n" + own[7] + "\n" + prose(25, rng))]
+    rows += [(8, rows[8][1].split("\n")[-1] + "\n" + own[8]), (9, own[8]), (9, own[8]), (10, (line[60] + "7\n") * 2)]
+    got = {(r["doc_id"], r["text"]): r["__kept"] for r in line_templates.drop_recurring(make(rows)).collect()}
+    assert got == {
+        (0, "\n".join([own[0], line[60], line[8]])): True, (1, own[1] + "\n" + line[8]): True,
+        (2, rows[2][1]): True, (3, own[3]): True, (4, rows[4][1]): True, (5, rows[5][1]): True, (None, ""): False,
+        (6, rows[7][1]): True, (7, rows[8][1].split("\n")[-1]): True, (8, own[8]): True, (9, ""): False,
+        (10, rows[-1][1]): True}
+
+
 def test_common_words():
     rng = np.random.default_rng(8)
     for _ in range(50):

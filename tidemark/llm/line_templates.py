@@ -3,7 +3,8 @@
 A line falls into the leaf named by its number of words and its leading words, words with
 a digit counting as variable.  Within a leaf, a word that at its position occurs in too few
 documents is a variable field as well; what remains is the line's template.  Templates that
-recur across documents are dropped, but for the first line that shows them.
+recur across documents are dropped, but for the first line that shows them.  Long lines
+need no template: one that stands word for word in an earlier document is dropped as well.
 
 Every step is an aggregation or an equi-join on hashes, so neither a leaf nor a template
 has to fit into a task: copies of a line are one row before its words are spread out.
@@ -19,6 +20,7 @@ from .common import join_sized, store, text_key, words_of
 DEPTH = 3
 MIN_DOCS = 5
 MIN_WORDS = 5
+LONG_WORDS = 20
 MIN_FIXED = 0.7
 MIN_LEFT = 0.2
 VARIABLE = "<*>"
@@ -45,18 +47,44 @@ def _line_hash() -> Column:
     return F.xxhash64("n_words", mask)
 
 
+def _place() -> Column:
+    return F.struct(F.col("id").isNull().alias("unnamed"), "id", "key", "at")
+
+
+def repeated_passages(lines: DataFrame, long_words: int = LONG_WORDS) -> DataFrame:
+    """(id, key, at, gone) of long lines that stand word for word in two or more documents.
+
+    ``gone`` is 0 for the first place (by id, NULL last, then text key and position), else 1.
+    """
+    long = lines.filter(F.col("n_words") >= long_words)
+    place = _place()
+    # Two documents hold a line if its first and its last place differ in the document.
+    again = (long.groupBy("words").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+             .filter(~(F.col("first.id").eqNullSafe(F.col("last.id"))
+                       & (F.col("first.key") == F.col("last.key")))))
+    again = store(again.select("words", F.col("first.id").alias("first_id"),
+                               F.col("first.key").alias("first_key"), F.col("first.at").alias("first_at")))
+    here = (F.col("id").eqNullSafe(F.col("first_id")) & (F.col("key") == F.col("first_key"))
+            & (F.col("at") == F.col("first_at")))
+    return store(join_sized(long, again, "words", "inner", BROADCAST_ROWS)
+                 .select("id", "key", "at", F.when(here, 0).otherwise(1).alias("gone")))
+
+
 def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     depth: int = DEPTH, min_docs: int = MIN_DOCS, min_words: int = MIN_WORDS,
                     min_fixed: float = MIN_FIXED) -> tuple[DataFrame, DataFrame]:
-    """All lines (id, key, at, n_words, leaf, hash), and those dropped (with their template).
+    """All lines (id, key, at, n_words, leaf, hash, words), and those dropped (with their template).
 
+    ``words`` is a hash of the line's words as they are, ``hash`` one with numbers masked.
     A template counts if it has ``min_words`` words, at least the share ``min_fixed`` of
     them fixed, and ``min_docs`` documents show it.  Repeated rows (same id and text) are
     one document.  The first line that shows a template (by id, NULL last, then text key
     and position) isn't dropped.  NULL texts have no lines.
     """
     split = _lines(docs, id_col, text_col, depth)
-    lines = store(split.select("id", "key", "at", "n_words", "leaf", _line_hash().alias("hash")))
+    exact = F.xxhash64("n_words", F.array_join("words", " "))
+    lines = store(split.select("id", "key", "at", "n_words", "leaf", _line_hash().alias("hash"),
+                               exact.alias("words")))
     long = lines.filter(F.col("n_words") >= min_words)
     leaves = store(long.select("leaf", "id", "key").distinct().groupBy("leaf")
                    .agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") >= min_docs)
@@ -84,7 +112,7 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                  .select("leaf", "hash", "template"))
     members = store(join_sized(long, store(templates), ["leaf", "hash"], "inner", BROADCAST_ROWS)
                     .select("leaf", "template", "id", "key", "at"))
-    place = F.struct(F.col("id").isNull().alias("unnamed"), "id", "key", "at")
+    place = _place()
     # Twice: per document first, so that a common template's documents are counted in parts.
     often = (members.groupBy("leaf", "template", "id", "key").agg(F.min("at").alias("at"))
              .groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("docs"),
@@ -98,32 +126,41 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                   min_left: float = MIN_LEFT, **rules) -> DataFrame:
+                   min_left: float = MIN_LEFT, long_words: int = LONG_WORDS, **rules) -> DataFrame:
     """All rows and columns, with ``text_col`` cut, and three columns more.
 
     ``__n_lines`` and ``__n_dropped`` count lines; ``__kept`` is false where lines were
-    dropped and less than ``min_left`` of the words is left.  Lines that stay keep their
+    dropped and less than ``min_left`` of the words is left, unless the first place of a
+    long line that others lose is there and stays.  Lines that stay keep their
     order and form.  A NULL text stays NULL with 0 lines; an empty one has one line.
     """
     lines, dropped = recurring_lines(docs, id_col, text_col, **rules)
-    gone = dropped.select("id", "key", "at", F.lit(1).alias("gone")).distinct()
+    passages = repeated_passages(lines, long_words)
+    gone = dropped.select("id", "key", "at").unionByName(
+        passages.filter("gone = 1").select("id", "key", "at")).distinct().withColumn("gone", F.lit(1))
+    only = passages.filter("gone = 0").select("id", "key", "at", F.lit(0).alias("n_words"),
+                                              F.lit(0).alias("gone"), F.lit(1).alias("only"))
     # Only documents that lose lines are gathered here.
     marks = (lines.select("id", "key", "at", "n_words", F.lit(0).alias("gone"))
              .join(gone.select("id", "key").distinct(),
                    lines["id"].eqNullSafe(gone["id"]) & (lines["key"] == gone["key"]), "left_semi")
-             .unionByName(gone.withColumn("n_words", F.lit(0))))
-    cut = (marks.groupBy("id", "key", "at").agg(F.max("n_words").alias("n"), F.max("gone").alias("gone"))
+             .withColumn("only", F.lit(0)).unionByName(gone.withColumns({"n_words": F.lit(0), "only": F.lit(0)}))
+             .unionByName(only))
+    cut = (marks.groupBy("id", "key", "at").agg(F.max("n_words").alias("n"), F.max("gone").alias("gone"),
+                                                F.max("only").alias("only"))
            .groupBy("id", "key").agg(
                F.collect_list(F.when(F.col("gone") == 1, F.col("at"))).alias("__cut"),
                F.sum("n").alias("__all"),
-               F.sum(F.when(F.col("gone") == 0, F.col("n")).otherwise(0)).alias("__rest"))
-           .select(F.col("id").alias("__id"), F.col("key").alias("__key"), "__cut", "__all", "__rest"))
+               F.sum(F.when(F.col("gone") == 0, F.col("n")).otherwise(0)).alias("__rest"),
+               F.max(F.when(F.col("gone") == 0, F.col("only")).otherwise(0)).alias("__only"))
+           .filter(F.size("__cut") > 0)
+           .select(F.col("id").alias("__id"), F.col("key").alias("__key"), "__cut", "__all", "__rest", "__only"))
     joined = docs.withColumn("__text", text_key(text_col)).join(
         cut, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__key")), "left")
     parts = F.split(F.col(text_col), "\n", -1)
     left = F.array_join(F.filter(parts, lambda line, i: ~F.array_contains("__cut", i)), "\n")
     text = F.when(F.col("__cut").isNull(), F.col(text_col)).otherwise(left)
-    kept = F.coalesce(F.col("__rest") >= F.col("__all") * F.lit(min_left), F.lit(True))
+    kept = F.coalesce((F.col("__rest") >= F.col("__all") * F.lit(min_left)) | (F.col("__only") == 1), F.lit(True))
     return joined.select(
         *[text.alias(c) if c == text_col else F.col(c) for c in docs.columns],
         F.when(F.col(text_col).isNull(), 0).otherwise(F.size(parts)).alias("__n_lines"),
