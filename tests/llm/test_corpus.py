@@ -70,6 +70,40 @@ def test_simhash(spark, make):
     assert simhash.near_duplicates(make([])).count() == simhash.keep_one(make([])).count() == 0
 
 
+def test_near_dedup_stage(spark, make):
+    """Groups of five-word similarity 0.8 or more, beyond three bits, against all pairs."""
+    rng = np.random.default_rng(41)
+    rows, share = [], prose(60, rng)
+    for i in range(25):
+        words = prose(int(rng.integers(30, 200)), rng).split()
+        rows.append((20 * i, " ".join(words)))
+        for k in range(1, 9):
+            # Each copy changes one more word than the last: chains whose ends are unlike.
+            words = list(words)
+            words[int(rng.integers(len(words)))] = f"changed{i}"
+            rows.append((20 * i + k, " ".join(words)))
+    rows += [(900 + i, share + " " + prose(40, rng)) for i in range(20)]
+    rows += [(950, None), (951, ""), (952, "One two"), (953, "one  TWO"), (954, "one three"), (None, rows[0][1]),
+             (955, rows[0][1]), (0, rows[0][1]), (956, "a b c d e f g h i"), (957, "a b c d e f g h")]
+
+    def shingles(text):
+        w = (text or "").lower().split()
+        return frozenset(tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4)))
+    sets = [shingles(t) for _, t in rows]
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8]
+    marks = [simhash_by_hand(t) for _, t in rows]
+    assert any((marks[i] ^ marks[j]).bit_count() > 3 for i, j in pairs)
+    group = union_find(len(rows), pairs)
+    least = {}
+    for (d, _), g in zip(rows, group):
+        least[g] = min(least.get(g, 10**6), 10**6 if d is None else d)
+    docs = make(rows)
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(least.values())
+    assert corpus_pipeline.drop_near_duplicates(spark, make([]), "").count() == 0
+
+
 def test_links_lose_nothing(spark):
     """Clusters of fingerprints around a centre, and chains; all pairs within three bits."""
     rng = np.random.default_rng(2)
