@@ -7,19 +7,23 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, language, line_templates, mixing, near_copies
+from tidemark.llm import decontaminate, language, line_templates, mixing, simhash
 from tidemark.llm.common import read
 from tidemark.session import shared_dir
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language that holds a third of the text go."""
+    """Documents without a language that holds a third of the text go; NULL and empty texts have none."""
     model = language.learn(language.training_rows(docs))
     return language.keep_identified(docs, model)
 
 
 def drop_template_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of recurring templates go, and documents of which hardly anything is left."""
+    """Lines of recurring templates go, and documents of which hardly anything is left.
+
+    Needs a column ``n_chars``, set anew where lines went.  NULL and empty texts stay as they
+    are; repeated rows are one document.
+    """
     cut = line_templates.drop_recurring(docs).filter("__kept")
     changed = F.col("__n_dropped") > 0
     return cut.withColumn("n_chars", F.when(changed, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))) \
@@ -27,17 +31,23 @@ def drop_template_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a similarity of 0.8 on five words, that with the smallest id stays."""
-    return near_copies.keep_one(docs)
+    """Of documents linked by fingerprints at three bits or fewer, that with the smallest id stays.
+
+    NULL and empty texts have one fingerprint, so one of them stays; so does one of equal rows.
+    """
+    return simhash.keep_one(docs)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go; NULL and empty texts stay, as do all without items."""
     return decontaminate.drop_contaminated(docs, read(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each pass that takes a document, with its place in the order."""
+    """A row for each pass that takes a document, with its place in the order.
+
+    Texts without a word are never taken by a budget; repeated rows are taken alike.
+    """
     return mixing.mix(docs)
 
 
