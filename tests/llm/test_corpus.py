@@ -70,40 +70,6 @@ def test_simhash(spark, make):
     assert simhash.near_duplicates(make([])).count() == simhash.keep_one(make([])).count() == 0
 
 
-def test_near_dedup_stage(spark, make):
-    """Groups of five-word similarity 0.8 or more, beyond three bits, against all pairs."""
-    rng = np.random.default_rng(41)
-    rows, share = [], prose(60, rng)
-    for i in range(25):
-        words = prose(int(rng.integers(30, 200)), rng).split()
-        rows.append((20 * i, " ".join(words)))
-        for k in range(1, 9):
-            # Each copy changes one more word than the last: chains whose ends are unlike.
-            words = list(words)
-            words[int(rng.integers(len(words)))] = f"changed{i}"
-            rows.append((20 * i + k, " ".join(words)))
-    rows += [(900 + i, share + " " + prose(40, rng)) for i in range(20)]
-    rows += [(950, None), (951, ""), (952, "One two"), (953, "one  TWO"), (954, "one three"), (None, rows[0][1]),
-             (955, rows[0][1]), (0, rows[0][1]), (956, "a b c d e f g h i"), (957, "a b c d e f g h")]
-
-    def shingles(text):
-        w = (text or "").lower().split()
-        return frozenset(tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4)))
-    sets = [shingles(t) for _, t in rows]
-    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8]
-    marks = [simhash_by_hand(t) for _, t in rows]
-    assert any((marks[i] ^ marks[j]).bit_count() > 3 for i, j in pairs)
-    group = union_find(len(rows), pairs)
-    least = {}
-    for (d, _), g in zip(rows, group):
-        least[g] = min(least.get(g, 10**6), 10**6 if d is None else d)
-    docs = make(rows)
-    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "")
-    assert kept.columns == docs.columns
-    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(least.values())
-    assert corpus_pipeline.drop_near_duplicates(spark, make([]), "").count() == 0
-
-
 def test_links_lose_nothing(spark):
     """Clusters of fingerprints around a centre, and chains; all pairs within three bits."""
     rng = np.random.default_rng(2)
@@ -193,6 +159,22 @@ def test_line_templates(spark, make):
     assert line_templates.drop_recurring(make([])).count() == 0
 
 
+def passages_by_hand(rows, long_words=20):
+    """Places of long lines that stand word for word in two documents: those that go, those that stay."""
+    places = defaultdict(list)
+    for d, t in set(rows):
+        for i, line in enumerate((t or "").split("\n")):
+            if len(line.split()) >= long_words:
+                places[tuple(line.split())].append(((d, t), i))
+    gone, first = set(), set()
+    for own in places.values():
+        if len({doc for doc, _ in own}) > 1:
+            own.sort(key=lambda p: (p[0][0], p[1]))
+            first.add(own[0])
+            gone |= set(own[1:])
+    return gone, first
+
+
 def test_long_lines_of_two_documents(spark, make):
     """A long line goes from the second document on; short ones and the last copy stay."""
     rng = np.random.default_rng(37)
@@ -346,12 +328,17 @@ def test_pipeline(spark, sf):
         rows, before = out.collect(), docs.collect()
         seen[name] = rows
         if name == "line_dedup":
-            gone = templates_by_hand([(r["doc_id"], r["text"]) for r in before])
-            texts = {r["doc_id"]: r["text"] for r in before}
-            for r in rows:
-                t = texts[r["doc_id"]]
-                assert r["text"] == "\n".join(x for i, x in enumerate(t.split("\n")) if ((r["doc_id"], t), i) not in gone)
-                assert r["n_chars"] == len(r["text"])
+            pairs = [(r["doc_id"], r["text"]) for r in before]
+            long_gone, first = passages_by_hand(pairs)
+            gone, want = templates_by_hand(pairs) | long_gone, {}
+            for d, t in pairs:
+                left = [(i, x) for i, x in enumerate(t.split("\n")) if ((d, t), i) not in gone]
+                cut = len(left) <= t.count("\n")
+                enough = sum(len(x.split()) for _, x in left) >= 0.2 * len(t.split())
+                if not cut or enough or any(((d, t), i) in first for i, _ in left):
+                    want[d] = "\n".join(x for _, x in left)
+            assert {r["doc_id"]: r["text"] for r in rows} == want
+            assert all(r["n_chars"] == len(r["text"]) for r in rows)
         if name == "simhash_near_dedup":
             marks = [simhash_by_hand(r["text"]) for r in before]
             group = union_find(len(before), [(i, j) for i in range(len(before)) for j in range(i)
