@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    decontaminate, kneser_ney, language, line_crf, line_templates, mixing, privacy, secret_scan,
-    simhash, url_filter)
+    decontaminate, kneser_ney, language, line_crf, line_templates, mixing, prefix_trie, privacy,
+    secret_scan, simhash, url_filter)
 from .common import is_remainder, read
 
 
@@ -71,6 +71,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.col("component").alias("component_id"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.turn_rows(read(spark, sf_dir, "conversations"))
+    return prefix_trie.trie(prefix_trie.with_shared_starts(turns), turns.select("conv").distinct())
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run
     return run(spark, sf_dir)
@@ -78,7 +83,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_privacy, op2_kneser_ney, op3_line_templates, op4_secrets, op5_language, op6_line_quality,
-    op7_mixing, op8_url_filter, op9_decontamination, op10_simhash, pipeline)}
+    op7_mixing, op8_url_filter, op9_decontamination, op10_simhash, op13_prefix_trie, pipeline)}
 
 # Statistics, hashes and models that SQL can't state; tests/llm compares them with plain Python.
 ORACLES: dict[str, str] = {}
