@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import (
     decontaminate, kneser_ney, language, line_crf, line_templates, mixing, prefix_trie, privacy,
-    secret_scan, simhash, url_filter)
+    secret_scan, simhash, suffix_dedup, url_filter)
 from .common import is_remainder, read
 
 
@@ -71,6 +71,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.col("component").alias("component_id"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.repeated_spans(read(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + s["end"] - s["start"])
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", removed.alias("n_removed"),
+                        F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = prefix_trie.turn_rows(read(spark, sf_dir, "conversations"))
     return prefix_trie.trie(prefix_trie.with_shared_starts(turns), turns.select("conv").distinct())
@@ -83,7 +90,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_privacy, op2_kneser_ney, op3_line_templates, op4_secrets, op5_language, op6_line_quality,
-    op7_mixing, op8_url_filter, op9_decontamination, op10_simhash, op13_prefix_trie, pipeline)}
+    op7_mixing, op8_url_filter, op9_decontamination, op10_simhash, op12_suffix_dedup, op13_prefix_trie, pipeline)}
 
 # Statistics, hashes and models that SQL can't state; tests/llm compares them with plain Python.
 ORACLES: dict[str, str] = {}
