@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    decontaminate, kneser_ney, language, line_crf, line_templates, mixing, prefix_trie, privacy,
+    conversation_repair, decontaminate, kneser_ney, language, line_crf, line_templates, mixing, prefix_trie, privacy,
     secret_scan, simhash, suffix_dedup, url_filter)
 from .common import is_remainder, read
 
@@ -71,6 +71,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.col("component").alias("component_id"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    convs = read(spark, sf_dir, "conversations")
+    ids = convs.select(F.col("conv_id").alias("conv")).distinct()
+    return conversation_repair.audit(conversation_repair.damaged(convs), ids)
+
+
 def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.repeated_spans(read(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + s["end"] - s["start"])
@@ -90,7 +96,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_privacy, op2_kneser_ney, op3_line_templates, op4_secrets, op5_language, op6_line_quality,
-    op7_mixing, op8_url_filter, op9_decontamination, op10_simhash, op12_suffix_dedup, op13_prefix_trie, pipeline)}
+    op7_mixing, op8_url_filter, op9_decontamination, op10_simhash, op11_conversation_repair, op12_suffix_dedup, op13_prefix_trie, pipeline)}
 
 # Statistics, hashes and models that SQL can't state; tests/llm compares them with plain Python.
 ORACLES: dict[str, str] = {}
