@@ -21,7 +21,7 @@ from pyspark.sql import Window
 from .common import join_sized, store
 from .ordered import EMPTY, digest_of, number
 
-LIMIT = 1024
+LIMIT = 128
 BROADCAST_ROWS = 100_000
 NO_ENDS = hashlib.sha256(b"").hexdigest()
 NODE = ("key binary, parent binary, conv_id {conv}, depth bigint, n_convs bigint, n_children bigint, "
