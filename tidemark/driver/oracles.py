@@ -338,6 +338,18 @@ def _flag_case(matches) -> str:
 
 _STATUS = ", ".join(f"{_flag_case(m)} AS {name}" for name, m in icu.STATUS_FLAGS.items())
 
+# The candidates of the published searches, in order.
+_GRIDS = {
+    "rf_train": """SELECT d::INTEGER AS max_depth, n::INTEGER AS num_trees
+  FROM range(2, 11, 2) a(d), range(20, 301, 20) b(n) ORDER BY d, n""",
+    "gbt_train": "SELECT n::INTEGER AS max_iter FROM range(20, 201, 10) a(n) ORDER BY n",
+    "boost_shape": """SELECT d::INTEGER AS max_depth, s::INTEGER AS min_split, l::INTEGER AS min_leaf
+  FROM range(2, 5, 2) a(d), range(5, 31, 5) b(s), range(2, 7, 2) c(l) ORDER BY d, s, l""",
+    "boost_sample": """SELECT unnest([0.6, 0.7, 0.75, 0.8, 0.85, 0.9])::DOUBLE AS subsample""",
+    "boost_rate": """SELECT pow(10::DOUBLE, -3 + i / 3) AS rate, n::INTEGER AS max_iter
+  FROM range(0, 10) a(i), range(20, 201, 20) b(n) ORDER BY i, n""",
+}
+
 ORACLES: dict[str, str] = {
     "icu_chart": f"""WITH {EPISODES}, {_coded(cfg.CHART_CODES)},
 longest AS (
@@ -539,19 +551,15 @@ SELECT doc_id, quality, toxic, CASE WHEN rn <= floor(n * 0.2::DOUBLE + 0.5) THEN
 FROM (SELECT *, count(*) OVER (PARTITION BY quality) AS n, row_number() OVER (
     PARTITION BY quality ORDER BY (doc_id * {cfg.SPLIT_MULTIPLIER}) % {cfg.SPLIT_PRIME}) AS rn
   FROM labels)""",
-    **{name: f"""SELECT * FROM (VALUES {', '.join(rows)}) t({columns})""" for name, rows, columns in (
-        ("rf_train", [f"({i}, {d}, {n}, TRUE, TRUE, 1::BIGINT, TRUE)" for i, (d, n) in enumerate(
-            (d, n) for d in cfg.FOREST_GRID["maxDepth"] for n in cfg.FOREST_GRID["numTrees"])],
-         "candidate, max_depth, num_trees, in_range, has_spread, n_best, best_is_top"),
-        ("gbt_train", [f"({i}, {n}, TRUE, TRUE, 1::BIGINT, TRUE)" for i, n in
-                       enumerate(cfg.BOOST_GRID["maxIter"])],
-         "candidate, max_iter, in_range, has_spread, n_best, best_is_top"))},
+    **{name: f"""SELECT CAST(row_number() OVER () - 1 AS INTEGER) AS candidate, *, 3::BIGINT AS folds,
+  TRUE AS in_range, TRUE AS has_spread, 1::BIGINT AS n_best, TRUE AS best_is_top
+FROM ({grid})""" for name, grid in _GRIDS.items()},
     "score": f"""WITH {_TEST}
 SELECT user_id, seg_start_time, seg_end_time, label AS y_true, TRUE AS known_label,
   TRUE AS own_risk FROM test""",
     "score_report": f"""WITH {_TEST}
-SELECT label AS class, count(*) AS support, TRUE AS precision_in_range, TRUE AS recall_in_range,
-  TRUE AS f1_in_range FROM test GROUP BY label""",
+SELECT label AS class, count(*) AS support, CAST((SELECT count(*) FROM test) AS BIGINT) AS predicted,
+  TRUE AS precision_fits, TRUE AS recall_fits, TRUE AS support_fits FROM test GROUP BY label""",
     "top_features": f"""WITH {_TRAIN}
 SELECT CAST(unnest(generate_series(1, (SELECT CAST(least(20, sum(kept)) AS BIGINT) FROM kept))) AS INTEGER) AS rank,
   TRUE AS known, TRUE AS in_range""",

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +15,7 @@ from ..functions.risk import risk
 from ..functions.times import whole_hours
 from ..operators import features as ft
 from ..operators import model as md
+from ..operators import search as sc
 from ..operators import series as sr
 from ..operators.episodes import episode_marks, episodes
 from ..operators.extract import entity_rows, extract_interval, join_dimension
@@ -461,47 +465,81 @@ def risk_query(spark, sf):
     return _rounded(risk(lines, ["l_orderkey"]), ["ser_risk"])
 
 
-def _split_training(spark, sf):
-    filled, _, kept = _training(spark, sf)
-    mixed = ((F.col("user_id") * 1000 + F.col("label")) * F.lit(cfg.SPLIT_MULTIPLIER)
-             % F.lit(cfg.SPLIT_PRIME) * F.lit(1 << 31).cast("bigint"))
-    keyed = settle(md.stratified_split(settle(filled), "label", mixed, ties=["user_id"]))
-    return keyed.filter("is_test = 0"), keyed.filter("is_test = 1"), kept
+def _mixed_key() -> Column:
+    mixed = (F.col("user_id") * 1000 + F.col("label")) * F.lit(cfg.SPLIT_MULTIPLIER)
+    return mixed % F.lit(cfg.SPLIT_PRIME) * F.lit(1 << 31).cast("bigint")
+
 
+def _search_folder(spark, sf, name, **params) -> str:
+    """Where a search over these input files keeps its scores; a lost run goes on there."""
+    return st.cache_path(spark, f"{shared_dir(spark)}/searches", name,
+                         {"stats": cfg.STATS, "hours": [cfg.SEG_HOURS, cfg.TOTAL_HOURS], **params},
+                         [f"{sf}/events.parquet"])
 
-def _candidates(spark, found, names):
-    """What any search must give: its candidates, sound scores and one best."""
-    table_ = md.candidate_table(spark, found)
+
+def _split_training(spark, sf):
+    """Training and test part with folds, and the feature names; built once for given files."""
+    def build():
+        filled, _, _ = _training(spark, sf)
+        keyed = settle(md.stratified_split(settle(filled), "label", _mixed_key(), ties=["user_id"]))
+        parts = sc.fold_of(keyed.filter("is_test = 0"), "label", _mixed_key(), cfg.FOLDS, ties=["user_id"])
+        return parts.unionByName(keyed.filter("is_test = 1").withColumn("fold", F.lit(-1)))
+    rows = st.cached(spark, f"{shared_dir(spark)}/searches", "training",
+                     {"stats": cfg.STATS, "hours": [cfg.SEG_HOURS, cfg.TOTAL_HOURS], "folds": cfg.FOLDS},
+                     build, [f"{sf}/events.parquet"])
+    kept = [n for n in _names() if n in rows.columns]
+    return rows.filter("is_test = 0"), rows.filter("is_test = 1"), kept
+
+
+def _candidates(scores, names):
+    """What any search must give: its candidates, sound scores of each fold and one best."""
     top = Window.partitionBy(F.lit(1))  # as many rows as candidates
-    return table_.select(
-        "candidate", *[F.regexp_extract("params", rf"\b{n}=(\d+)", 1).cast("int").alias(c)
-                       for c, n in names.items()],
-        F.col("mean").between(0, 1).alias("in_range"), (F.col("two_std") >= 0).alias("has_spread"),
+    sound = (F.col("low") >= 0) & (F.col("low") <= F.col("mean") + 1e-12) & (F.col("mean") <= F.col("high") + 1e-12)
+    return sc.summary(scores).select(
+        "candidate", *[F.get_json_object("params", f"$.{n}").cast(kind).alias(c) for c, (n, kind) in names.items()],
+        "folds", (sound & (F.col("high") <= 1)).alias("in_range"),
+        F.col("two_std").between(0, F.col("high") - F.col("low") + 1e-12).alias("has_spread"),
         F.sum("best").over(top).alias("n_best"),
         ((F.col("best") == 0) | (F.col("mean") == F.max("mean").over(top))).alias("best_is_top"))
 
 
-def rf_train(spark, sf):
-    """Grid search over random forests; candidates and checks of their fold scores."""
+def _forest_scores(spark, sf):
     train, _, kept = _split_training(spark, sf)
-    _, found = md.fit_grid(train, kept, "label", md.random_forest(), cfg.FOREST_GRID, "macro")
-    return _candidates(spark, found, {"max_depth": "maxDepth", "num_trees": "numTrees"})
+    folder = _search_folder(spark, sf, "forest")
+    return sc.forest_search(train, kept, "label", "fold", folder), folder
 
 
-def gbt_train(spark, sf):
-    """Grid search over boosted trees; candidates and checks of their fold scores."""
-    train, _, kept = _split_training(spark, sf)
-    _, found = md.fit_grid(train, kept, "label", md.boosted_trees(), cfg.BOOST_GRID, "macro")
-    return _candidates(spark, found, {"max_iter": "maxIter"})
+def rf_train(spark, sf):
+    """The whole grid over random forests: candidates and checks of their fold scores."""
+    scores, _ = _forest_scores(spark, sf)
+    return _candidates(scores, {"max_depth": ("depth", "int"), "num_trees": ("trees", "int")})
+
+
+def _boosted(grid, names):
+    def query(spark, sf):
+        train, _, kept = _split_training(spark, sf)
+        score, base, values = sc.BOOSTED[grid]
+        scores = sc.boosted_search(train, kept, "label", _mixed_key(), "fold",
+                                   _search_folder(spark, sf, grid), base, values, score)
+        return _candidates(scores, names)
+    query.__doc__ = f"The whole grid {grid} over boosted trees: candidates and checks of their fold scores."
+    return query
+
+
+gbt_train = _boosted("boost_rounds", {"max_iter": ("rounds", "int")})
+boost_shape = _boosted("boost_shape", {"max_depth": ("depth", "int"), "min_split": ("min_split", "int"),
+                                       "min_leaf": ("min_leaf", "int")})
+boost_sample = _boosted("boost_sample", {"subsample": ("subsample", "double")})
+boost_rate = _boosted("boost_rate", {"rate": ("rate", "double"), "max_iter": ("rounds", "int")})
 
 
 def _best_forest(spark, sf):
-    """Best forest of the search, stored and loaded, with both parts and the names."""
+    """Best forest of the search, refitted on all training rows, with the test part and the names."""
     train, test, kept = _split_training(spark, sf)
-    path = f"{shared_dir(spark)}/models/{uuid.uuid4().hex}"
-    best, _ = md.fit_grid(train, kept, "label", md.random_forest(), cfg.FOREST_GRID, "macro")
-    st.save_model(best, path)
-    return st.load_model(path), test, kept
+    scores, folder = _forest_scores(spark, sf)
+    best = json.loads(sc.summary(scores).filter("best = 1").first()["params"])
+    forest = sc.refit_forest(train, kept, "label", folder, best)
+    return PipelineModel([VectorAssembler(inputCols=kept, outputCol="features"), forest]), test, kept
 
 
 def score(spark, sf):
@@ -518,11 +556,21 @@ def score(spark, sf):
 
 
 def score_report(spark, sf):
-    """Supports of the test part by class, with sound precision and recall."""
+    """Supports of the test part by class, and whether the report is that of the confusion."""
     model, test, _ = _best_forest(spark, sf)
-    report = md.class_report(md.predict(model, test), "label", "y_pred")
-    return report.select("class", "support", *[F.col(c).between(0, 1).alias(f"{c}_in_range")
-                                               for c in ("precision", "recall", "f1")])
+    predicted = settle(md.predict(model, test))
+    pairs = md.confusion(predicted, "label", "y_pred")
+    true, named = (pairs.groupBy(F.col(c).alias("class")).agg(F.sum("n").alias(n))
+                   for c, n in (("y_true", "rows"), ("y_pred", "named")))
+    hits = pairs.filter("y_true = y_pred").select(F.col("y_true").alias("class"), F.col("n").alias("hits"))
+    report = (md.class_report(predicted, "label", "y_pred").join(true, "class", "left")
+              .join(named, "class", "left").join(hits, "class", "left").na.fill(0, ["rows", "named", "hits"]))
+    total = Window.partitionBy(F.lit(1))  # as many rows as classes
+    return report.select(
+        "class", "support", F.sum("named").over(total).alias("predicted"),
+        (F.abs(F.col("precision") * F.col("named") - F.col("hits")) < 1e-6).alias("precision_fits"),
+        (F.abs(F.col("recall") * F.col("rows") - F.col("hits")) < 1e-6).alias("recall_fits"),
+        (F.col("support") == F.col("rows")).alias("support_fits"))
 
 
 def top_features(spark, sf):
@@ -588,8 +636,9 @@ def ensure_table(spark, sf):
 def cached(spark, sf):
     folder = f"{shared_dir(spark)}/cache/{uuid.uuid4().hex}"
     params = {"gap": cfg.GAP_HOURS, "sf": sf}
-    st.cached(spark, folder, "markers", params, lambda: markers(spark, sf))
-    return st.cached(spark, folder, "markers", params, lambda: markers(spark, sf))
+    files = [f"{sf}/events.parquet"]
+    st.cached(spark, folder, "markers", params, lambda: markers(spark, sf), files)
+    return st.cached(spark, folder, "markers", params, lambda: markers(spark, sf), files)
 
 
 def one_user(spark, sf):
@@ -672,6 +721,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "risk": risk_query,
     "rf_train": rf_train,
     "gbt_train": gbt_train,
+    "boost_shape": boost_shape,
+    "boost_sample": boost_sample,
+    "boost_rate": boost_rate,
     "score": score,
     "score_report": score_report,
     "top_features": top_features,

@@ -16,9 +16,7 @@ MODE_DECIMALS = 9
 RETURN_FLAGS = ["A", "N", "R"]
 LINE_SEG_HOURS = 8760
 ONE_USER = 7
-# Parts of the published grids that fit the time of a query.
-FOREST_GRID = {"maxDepth": [2, 4], "numTrees": [20]}
-BOOST_GRID = {"maxIter": [20, 30]}
+FOLDS = 3
 FEATURE_CHANNELS = ["click", "error", "purchase", "signup", "view", "ratio", "product"]
 SPLIT_MULTIPLIER = 2654435761
 SPLIT_PRIME = 4294967291

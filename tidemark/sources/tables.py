@@ -70,26 +70,70 @@ def _file_exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
 
 
-def _finished(spark: SparkSession, folder: str) -> bool:
+def finished(spark: SparkSession, folder: str) -> bool:
     """Does the folder hold a whole result?  A write sets its marker when all parts are there."""
     return _file_exists(spark, f"{folder.rstrip('/')}/_SUCCESS")
 
 
+def fingerprint(spark: SparkSession, *paths: str) -> str:
+    """Changes when a file below the paths is added, removed, resized or written again.
+
+    Only the listing is read.  Hidden files don't count.
+    """
+    conf, digest = spark._jsc.hadoopConfiguration(), hashlib.sha256()
+    for path in paths:
+        root = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files, seen = root.getFileSystem(conf).listFiles(root, True), []
+        while files.hasNext():
+            f = files.next()
+            name = f.getPath().toString()
+            if not name.rsplit("/", 1)[-1].startswith((".", "_")):
+                seen.append((name, f.getLen(), f.getModificationTime()))
+        digest.update(json.dumps(sorted(seen)).encode())
+    return digest.hexdigest()
+
+
+def cache_path(spark: SparkSession, folder: str, name: str, params: Mapping[str, object],
+               inputs: Sequence[str] = ()) -> str:
+    """Folder of a stored result; the key covers every parameter and the files of ``inputs``."""
+    known = {**params, "_inputs": fingerprint(spark, *inputs)} if inputs else dict(params)
+    key = hashlib.sha256(json.dumps(known, sort_keys=True, default=str).encode())
+    return f"{folder.rstrip('/')}/{name}-{key.hexdigest()[:16]}"
+
+
 def cached(spark: SparkSession, folder: str, name: str, params: Mapping[str, object],
-           build: Build) -> DataFrame:
-    """Stored result if there is one for these parameters, else build and store.
+           build: Build, inputs: Sequence[str] = ()) -> DataFrame:
+    """Stored result if there is one for these parameters and input files, else build and store.
 
-    The key covers every parameter.  An empty name computes without storing.
+    ``inputs`` are the paths that ``build`` reads: a result of changed files isn't used.  The
+    result is written in a folder of its own and then renamed, so that readers and other
+    builders never see parts of two builds; if another one was faster, its result is taken.
+    An empty name computes without storing.
     """
     if not name:
         return build()
-    key = hashlib.sha256(json.dumps(dict(params), sort_keys=True, default=str).encode())
-    path = f"{folder.rstrip('/')}/{name}-{key.hexdigest()[:16]}"
-    if not _finished(spark, path):
-        build().write.mode("overwrite").parquet(path)
+    path = cache_path(spark, folder, name, params, inputs)
+    if not finished(spark, path):
+        fresh = f"{path}-{uuid.uuid4().hex}"
+        build().write.parquet(fresh)
+        _publish(spark, fresh, path)
     return spark.read.parquet(path)
 
 
+def _publish(spark: SparkSession, fresh: str, path: str) -> None:
+    """Give a finished folder its name; an unfinished one in its place goes first."""
+    source, target = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (fresh, path))
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(target) and not finished(spark, path):
+        fs.delete(target, True)
+    # A rename onto a folder would move into it, so the name is checked first and after.
+    if not fs.exists(target) and fs.rename(source, target):
+        return
+    if not finished(spark, path):
+        raise OSError(f"can't publish {path}")
+    fs.delete(source, True)
+
+
 def padded_id(prefix: str, number: Column, width: int = 6) -> Column:
     """Prefix and zero-padded number; longer numbers are kept whole."""
     text = number.cast("string")
@@ -129,7 +173,7 @@ def save_table(df: DataFrame, path: str) -> None:
 
 def load_table(spark: SparkSession, path: str) -> DataFrame | None:
     """A stored feature or means table, or None where there is none."""
-    return spark.read.parquet(path) if _finished(spark, path) else None
+    return spark.read.parquet(path) if finished(spark, path) else None
 
 
 def save_model(model: PipelineModel, path: str) -> None:
