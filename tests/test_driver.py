@@ -8,8 +8,8 @@ import __spark_entry__ as entry
 from tools.check_oracles import TABLES, rows_of
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-# Left to the driver: each fits several models, as "score" does.
-SLOW = {"rf_train", "gbt_train", "score_report", "top_features"}
+# Left to the driver: each fits the models of a whole published grid; test_search.py has small ones.
+SLOW = {"rf_train", "gbt_train", "boost_shape", "boost_sample", "boost_rate", "score", "score_report", "top_features"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
 
