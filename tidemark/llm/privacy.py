@@ -1,10 +1,12 @@
 """Personal data: fixed patterns, and terms that reveal what the patterns protect.
 
-The patterns' values are the protected entities.  A term that stands near an entity in
-several documents discloses it as far as it tells that the entity is meant: pointwise
-mutual information over the entity's own information, from document counts of the whole
-corpus.  Terms at or above the threshold are generalised to a prefix if that discloses
-less, else removed, wherever they occur.  Built-in functions only.
+The patterns' values are the protected entities.  A term that stands near an entity
+discloses it as far as it tells that the entity is meant: pointwise mutual information over
+the entity's own information, from document counts of the whole corpus.  The chance of the
+entity given the term is smoothed towards the entity's own, so that entities met once count
+as well; a term must make its entity more likely than not.  Terms at or above the
+threshold are generalised to a prefix if that discloses less, else removed, wherever they
+occur.  A document is a distinct text, so copies are no evidence.  Built-in functions only.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_sized, small_enough, store, text_key
+from .common import join_sized, store, text_key
 from .spans import apart, digest, find_spans, sha256
 
 # Fixed patterns of the base spans, in a form that never tries a place twice: possessive
@@ -23,11 +25,12 @@ IP = "(?<![0-9])[0-9]++\\.[0-9]++\\.[0-9]++\\.[0-9]++"
 CARD = "[0-9](?:[\\x20-]?[0-9])++"
 PHONE = "\\+[0-9][\\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
-TERM = "\\p{L}{4,}"
+TERM = "[\\p{L}\\p{N}]{2,}+"
 
 CONTEXT = 80
-MIN_DOCS = 3
+SMOOTHING = 0.1
 DISCLOSURE = 0.9
+LIKELY = 0.5
 PREFIX = 3
 BROADCAST_ROWS = 100_000
 
@@ -68,64 +71,78 @@ def _prefix(term: Column) -> Column:
 
 
 def _terms(text: Column) -> Column:
-    """Distinct lower-cased terms and the prefixes that would generalise them."""
-    own = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
-    return F.concat(own, F.array_distinct(F.transform(own, _prefix)))
+    """Distinct lower-cased terms."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
+
+
+def distinct_texts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, text) with each text once, and the stored keys of texts that stand in several rows.
+
+    Only texts of such keys are shuffled, one of them for each task at most.
+    """
+    again = store(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+                  .select("key", F.lit(True).alias("copied")))
+    marked = join_sized(rows.select("key", "text"), again, "key", "left", BROADCAST_ROWS)
+    first = marked.filter("copied").groupBy("key").agg(F.first("text").alias("text"))
+    return marked.filter("copied IS NULL").select("key", "text").unionByName(first), again
 
 
 def near_terms(found: DataFrame) -> DataFrame:
-    """(entity, term, docs, of_entity): terms near an entity in ``MIN_DOCS`` documents or more.
+    """(entity, term, docs, of_entity): terms near an entity, by documents (keys).
 
     Near is within ``CONTEXT`` code points of one of its spans, words cut by that limit
-    left out.  ``docs`` counts documents (id and text) with the pair, ``of_entity`` those
-    with the entity.
+    left out.  ``docs`` counts documents with the pair, ``of_entity`` those with the entity.
     """
-    spans = F.concat(*KINDS)
-    one = (found.filter(F.size(spans) > 0).select("id", "key", "text", F.explode(spans).alias("s"))
-           .select("id", "key", _entity(F.col("s")).alias("entity"),
-                   F.substring("text", F.greatest(F.col("s.start") - CONTEXT, F.lit(0)) + 1,
-                               F.least(F.col("s.start"), F.lit(CONTEXT))).alias("before"),
-                   F.substring("text", F.col("s.end") + 1, F.lit(CONTEXT)).alias("after"),
-                   (F.col("s.start") > CONTEXT).alias("cut")))
-    whole = F.when(F.col("cut"), F.regexp_replace("before", "^\\p{L}+", "")).otherwise(F.col("before"))
-    tail = F.when(F.length("after") == CONTEXT, F.regexp_replace("after", "\\p{L}+$", "")).otherwise(F.col("after"))
+    one = store(found.select("key", F.explode(F.concat(*KINDS)).alias("s"), "text")
+                .select("key", _entity(F.col("s")).alias("entity"),
+                        F.substring("text", F.greatest(F.col("s.start") - CONTEXT, F.lit(0)) + 1,
+                                    F.least(F.col("s.start"), F.lit(CONTEXT))).alias("before"),
+                        F.substring("text", F.col("s.end") + 1, F.lit(CONTEXT)).alias("after"),
+                        (F.col("s.start") > CONTEXT).alias("cut")))
+    whole = F.when(F.col("cut"), F.regexp_replace("before", "^[\\p{L}\\p{N}]+", "")).otherwise(F.col("before"))
+    tail = F.when(F.length("after") == CONTEXT, F.regexp_replace("after", "[\\p{L}\\p{N}]+$", "")).otherwise(F.col("after"))
     near = F.concat_ws(" ", whole, tail)
-    pairs = one.select("id", "key", "entity", F.explode(_terms(near)).alias("term")).distinct()
-    joint = (pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("docs"))
-             .filter(F.col("docs") >= MIN_DOCS))
-    # Whole entities, also those without a term near them.
-    each = (one.select("id", "key", "entity").distinct().groupBy("entity")
-            .agg(F.count(F.lit(1)).alias("of_entity")))
+    joint = (one.select("key", "entity", F.explode(_terms(near)).alias("term")).distinct()
+             .groupBy("entity", "term").agg(F.count(F.lit(1)).alias("docs")))
+    each = one.select("key", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("of_entity"))
     return joint.join(each, "entity")
 
 
-def disclosing_terms(found: DataFrame, threshold: float = DISCLOSURE) -> tuple[DataFrame, DataFrame]:
-    """(term, action) of all terms that disclose an entity, and (id, key, term) where they occur.
+def _told(docs: Column, of_term: Column, of_entity: Column, n: Column) -> Column:
+    """(share, chance): the part of the entity's information that the term gives, and the
+    smoothed chance of the entity given the term."""
+    chance = (docs + SMOOTHING * of_entity / n) / (of_term + F.lit(SMOOTHING))
+    return F.struct((F.lit(1.0) + F.log(chance) / F.log(n / of_entity)).alias("share"), chance.alias("chance"))
+
+
+def disclosing_terms(found: DataFrame, texts: DataFrame, n_texts: int, threshold: float = DISCLOSURE,
+                     likely: float = LIKELY) -> DataFrame:
+    """(term, action) of all terms that disclose an entity; stored.
 
-    ``found`` has id, key, text and the base spans; rows of one id and text are one document.
-    Disclosure is log(docs * N / (of_term * of_entity)) / log(N / of_entity), of at most 1.
+    ``found`` has key, text and the base spans, ``texts`` each distinct text once.  A prefix
+    stands for all terms that begin with it: its counts are the sums of theirs.
     """
     pairs = store(near_terms(found))
-    candidates = store(pairs.select("term").distinct())
-    spread = found.select("id", "key", F.explode(_terms(F.col("text"))).alias("term"))
-    total = found.select("id", "key").distinct().count()
-    if small_enough(candidates, 0):
-        placed = store(spread.limit(0))
-    else:
-        placed = store(join_sized(spread, candidates, "term", "left_semi", BROADCAST_ROWS).distinct())
-    of_term = placed.groupBy("term").agg(F.count(F.lit(1)).alias("of_term"))
-    n = F.lit(float(total))
-    share = (F.log(F.col("docs") * n / (F.col("of_term") * F.col("of_entity")))
-             / F.log(n / F.col("of_entity")))
-    told = (pairs.filter(F.col("of_entity") < n).join(of_term, "term")
-            .groupBy("term").agg(F.max(share).alias("disclosure")))
-    told = store(told)
-    classes = told.filter(F.col("term").endswith("*")).select(
-        F.col("term").alias("prefix"), F.col("disclosure").alias("of_prefix"))
-    risky = (told.filter((F.col("disclosure") >= threshold) & ~F.col("term").endswith("*"))
-             .withColumn("prefix", _prefix(F.col("term"))).join(classes, "prefix", "left"))
-    action = F.when(F.col("of_prefix") < threshold, "generalise").otherwise("remove")
-    return store(risky.select("term", action.alias("action"))), placed
+    counts = store(texts.select(F.explode(_terms(F.col("text"))).alias("term"))
+                   .groupBy("term").agg(F.count(F.lit(1)).alias("of_term"))
+                   .join(pairs.select(_prefix(F.col("term")).alias("prefix")).distinct(),
+                         _prefix(F.col("term")) == F.col("prefix"), "left_semi"))
+    n = F.lit(float(max(n_texts, 1)))
+
+    def risky(t: Column) -> Column:
+        return (t["share"] >= threshold) & (t["chance"] >= likely)
+    known = pairs.filter(F.col("of_entity") < n)
+    own = (known.join(counts, "term")
+           .withColumn("told", _told(F.col("docs"), F.col("of_term"), F.col("of_entity"), n))
+           .filter(risky(F.col("told"))).select("term").distinct().withColumn("prefix", _prefix(F.col("term"))))
+    own = store(own)
+    of_prefix = counts.groupBy(_prefix(F.col("term")).alias("prefix")).agg(F.sum("of_term").alias("of_prefix"))
+    wide = (known.groupBy("entity", "of_entity", _prefix(F.col("term")).alias("prefix")).agg(F.sum("docs").alias("docs"))
+            .join(own.select("prefix").distinct(), "prefix", "left_semi").join(of_prefix, "prefix")
+            .filter(risky(_told(F.col("docs"), F.col("of_prefix"), F.col("of_entity"), n)))
+            .select("prefix", F.lit(True).alias("told")).distinct())
+    return store(own.join(wide, "prefix", "left").select(
+        "term", F.when(F.col("told"), "remove").otherwise("generalise").alias("action")))
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -135,18 +152,19 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     The kinds hold arrays of spans (kind, start, end, value); a term's value is its action.
     ``clean`` is the text with base spans replaced by their kind in brackets, terms
     generalised to prefix and ``*`` or removed.  Terms within a base span are left to it.
-    A NULL text counts as empty.  Repeated rows count as one document and get equal spans.
+    A NULL text counts as empty.  Rows of one text count as one document and get equal spans.
     """
     rows = docs.select(F.col(id_col).alias("id"), text_key(text_col).alias("key"),
                        F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     found = rows.select("*", *[v.alias(k) for k, v in base_spans(F.col("text")).items()])
-    risky, placed = disclosing_terms(found, threshold)
-    hits = (placed.join(risky, "term").groupBy("id", "key")
-            .agg(F.collect_set(F.struct("term", "action")).alias("terms"))
-            .select(F.col("id").alias("_id"), F.col("key").alias("_key"), "terms"))
-    hits = store(hits)
-    marked = join_sized(found, hits, F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")),
-                        "left", BROADCAST_ROWS // 10)
+    texts, again = distinct_texts(rows)
+    n_texts = rows.count() if again.isEmpty() else rows.select("key").distinct().count()
+    risky = disclosing_terms(found, texts, n_texts, threshold)
+    placed = join_sized(texts.select("key", F.explode(_terms(F.col("text"))).alias("term")), risky, "term", "inner",
+                        BROADCAST_ROWS)
+    hits = store(placed.groupBy("key").agg(F.collect_set(F.struct("term", "action")).alias("terms"))
+                 .withColumnRenamed("key", "_key"))
+    marked = join_sized(found, hits, F.col("key") == F.col("_key"), "left", BROADCAST_ROWS // 10)
     names = F.transform("terms", lambda t: t["term"])
     spans = find_spans(F.col("text"), TERM, "term", lambda v: F.array_contains(names, F.lower(v)))
     actions = F.map_from_entries("terms")

@@ -1,19 +1,20 @@
 """Secrets: fixed patterns, then strings that look random by their characters.
 
-Two first-order Markov models of characters, one of the secrets that the patterns find and
-one of ordinary identifiers, give every long token a log-likelihood ratio.  Tokens far on
+Two first-order Markov models of characters, one of labelled random strings and one of the
+corpus's ordinary identifiers, give every long token a log-likelihood ratio.  Tokens far on
 the random side are reported besides the patterns' spans.  Built-in functions only.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
 from math import log
+from random import Random
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_key
-from .spans import apart, digest, find_spans, sha256
+from .spans import digest, find_spans, sha256, uncovered
 
 # Fixed patterns of the base spans; the value is the group named.
 ASSIGN = ("(?i:(password|passwd|secret|token|api_?key))[\"']?\\x20*[:=]\\x20*[\"']?"
@@ -26,7 +27,13 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=.-
 SIDE = len(ALPHABET) + 1
 TOKEN = "(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}"
 IDENTIFIER = "(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{8,}"
-TRAIN_DOCS = 20_000
+# Labelled random strings: so many of each alphabet, drawn by a seeded generator.
+RANDOM_STRINGS, RANDOM_LENGTHS, RANDOM_SEED = 2000, (16, 64), 5
+RANDOM_ALPHABETS = (
+    "0123456789abcdef", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
+    "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789",
+    "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
+    "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_")
 MIN_RATIO = 10.0
 SMOOTHING = 0.5
 START = "\u0002"
@@ -43,40 +50,51 @@ def _pairs(token: Column) -> Column:
     return F.regexp_extract_all(F.concat(F.lit(START), token), F.lit("(?s)(?=(..))"), F.lit(1))
 
 
-def ratios(docs: DataFrame, text_col: str = "text", train_docs: int = TRAIN_DOCS) -> list[float]:
+@lru_cache(maxsize=1)
+def random_strings() -> tuple[str, ...]:
+    rng = Random(RANDOM_SEED)
+    return tuple("".join(rng.choices(a, k=rng.randint(*RANDOM_LENGTHS)))
+                 for a in RANDOM_ALPHABETS for _ in range(RANDOM_STRINGS))
+
+
+def identifiers(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(token): ordinary identifiers of 8 or more characters in all texts, each once.
+
+    Counting an identifier once keeps copies and frequent words from ruling the model.
+    Tokens with digits in two places, as in most secrets, are not taken for ordinary, nor
+    are those with a run that the fixed patterns take.
+    """
+    return (docs.select(F.explode(F.regexp_extract_all(F.col(text_col), F.lit(IDENTIFIER), F.lit(0))).alias("token"))
+            .groupBy("token").agg(F.count(F.lit(1)).alias("n")).select("token")
+            .filter(~F.col("token").rlike(HEX) & ~F.col("token").rlike(ACCESS) & ~F.col("token").rlike("[0-9][^0-9]+[0-9]")))
+
+
+def ratios(docs: DataFrame, text_col: str = "text") -> list[float]:
     """Log ratio (random over ordinary) of every pair of characters, ``SIDE`` x ``SIDE``.
 
-    Random strings: values of the base spans of all documents.  Ordinary identifiers: other
-    tokens of 8 or more characters in about ``train_docs`` documents chosen by hash of the
-    text.  All zero where either sample is empty.
+    All zero where there is no ordinary identifier.
     """
-    texts = docs.select(F.col(text_col).alias("text"), text_key(text_col).alias("key")).filter("text IS NOT NULL")
-    part = max(1, texts.count() // train_docs)
-    kinds = base_spans(F.col("text"))
-    values = F.transform(F.concat(*kinds), lambda s: s["value"])
-    random = texts.select(F.lit(1).alias("random"), F.explode(values).alias("token"))
-    cleared = F.col("text")
-    for pattern in (ASSIGN, ACCESS, HEX):
-        cleared = F.regexp_replace(cleared, pattern, " ")
-    plain = (texts.filter(F.pmod("key", F.lit(part)) == 0)
-             .select(F.lit(0).alias("random"),
-                     F.explode(F.regexp_extract_all(cleared, F.lit(IDENTIFIER), F.lit(0))).alias("token")))
-    # At most two rows for each pair of known characters; all others count as one.
     known = F.lit(ALPHABET)
-    pairs = (random.union(plain).select("random", F.explode(_pairs(F.col("token"))).alias("pair"))
-             .select("random", F.instr(known, F.substring("pair", 1, 1)).alias("a"),
-                     F.instr(known, F.substring("pair", 2, 1)).alias("b"))
-             .groupBy("random", "a", "b").agg(F.count(F.lit(1)).alias("n")).collect())
-    table = {0: [SMOOTHING] * (SIDE * SIDE), 1: [SMOOTHING] * (SIDE * SIDE)}
-    for r in pairs:
-        table[r["random"]][r["a"] * SIDE + r["b"]] += r["n"]
-    if {r["random"] for r in pairs} != {0, 1}:
+    # At most one row for each pair of known characters; all others count as one.
+    found = (identifiers(docs, text_col).select(F.explode(_pairs(F.col("token"))).alias("pair"))
+             .select(F.instr(known, F.substring("pair", 1, 1)).alias("a"), F.instr(known, F.substring("pair", 2, 1)).alias("b"))
+             .groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).collect())
+    if not found:
         return [0.0] * (SIDE * SIDE)
-    share = {}
-    for k, counts in table.items():
+    ordinary, random = ([SMOOTHING] * (SIDE * SIDE) for _ in range(2))
+    for r in found:
+        ordinary[r["a"] * SIDE + r["b"]] += r["n"]
+    for token in random_strings():
+        last = 0
+        for c in token:
+            code = ALPHABET.find(c) + 1
+            random[last * SIDE + code] += 1
+            last = code
+    share = []
+    for counts in (random, ordinary):
         rows = [sum(counts[i:i + SIDE]) for i in range(0, SIDE * SIDE, SIDE)]
-        share[k] = [n / rows[i // SIDE] for i, n in enumerate(counts)]
-    return [log(r / o) for r, o in zip(share[1], share[0])]
+        share.append([n / rows[i // SIDE] for i, n in enumerate(counts)])
+    return [log(r / o) for r, o in zip(*share)]
 
 
 def log_ratio(token: Column, table: list[float]) -> Column:
@@ -90,21 +108,21 @@ def log_ratio(token: Column, table: list[float]) -> Column:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-         train_docs: int = TRAIN_DOCS, min_ratio: float = MIN_RATIO) -> DataFrame:
+         min_ratio: float = MIN_RATIO) -> DataFrame:
     """(id, assign, access, hex, markov): arrays of spans (kind, start, end, value) per row.
 
     A row for every row; a NULL text counts as empty and has no span.  ``markov`` holds
-    tokens of 16 or more characters whose log ratio is at least ``min_ratio`` and that
-    overlap no other span.
+    tokens of 16 or more characters whose log ratio is at least ``min_ratio`` and that lie
+    within no other span; a token of which a pattern takes only a part is reported whole.
     """
-    table = ratios(docs, text_col, train_docs)
+    table = ratios(docs, text_col)
     text = F.col("text")
     kinds = base_spans(text)
     spans = (docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
              .select("id", "text", *[k.alias(n) for k, n in zip(kinds, ("assign", "access", "hex"))]))
     found = find_spans(text, TOKEN, "markov", lambda v: log_ratio(v, table) >= min_ratio)
     return (spans.withColumn("markov", found)
-            .withColumn("markov", apart(F.col("markov"), F.concat("assign", "access", "hex"))).drop("text"))
+            .withColumn("markov", uncovered(F.col("markov"), F.concat("assign", "access", "hex"))).drop("text"))
 
 
 def report(found: DataFrame) -> DataFrame:

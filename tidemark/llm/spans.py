@@ -64,5 +64,11 @@ def apart(spans: Column, others: Column) -> Column:
         others, lambda o: (s["start"] < o["end"]) & (o["start"] < s["end"])))
 
 
+def uncovered(spans: Column, others: Column) -> Column:
+    """Spans that lie within none of the others."""
+    return F.filter(spans, lambda s: ~F.exists(
+        others, lambda o: (o["start"] <= s["start"]) & (s["end"] <= o["end"])))
+
+
 def sha256(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
