@@ -429,6 +429,15 @@ FROM body""",
     "nearest_end": f"""WITH {PAIRS}
 SELECT user_id, starttime, endtime, event_ts, {r6('duration_hours')} AS duration_hours, se_diff
 FROM pairs""",
+    **{name: f"""
+SELECT p.event_id, p.user_id, p.ts, n.ts AS found_ts, n.event_id AS near_id, n.value AS near_value
+FROM (SELECT * FROM events WHERE event_type = 'purchase') p
+LEFT JOIN (SELECT l.event_id AS own, r.*, row_number() OVER (PARTITION BY l.event_id
+    ORDER BY abs(epoch_us(r.ts) - epoch_us(l.ts)), r.ts, r.event_id) AS rn
+  FROM events l JOIN events r ON l.user_id = r.user_id AND l.event_type = 'purchase'
+    AND r.event_type IN ('click', 'view') AND abs(epoch_us(r.ts) - epoch_us(l.ts)) <= 21600000000 {also}) n
+ON n.own = p.event_id AND n.rn = 1""" for name, also in (
+        ("asof_nearest", ""), ("asof_backward", "AND r.ts <= l.ts"))},
     "best_per_key": """
 SELECT o_custkey, l_quantity, l_shipdate, o_orderdate FROM (
   SELECT o_custkey, l_quantity, l_shipdate, o_orderdate, row_number() OVER (
