@@ -87,8 +87,8 @@ def distinct_texts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return marked.filter("copied IS NULL").select("key", "text").unionByName(first), again
 
 
-def near_terms(found: DataFrame) -> DataFrame:
-    """(entity, term, docs, of_entity): terms near an entity, by documents (keys).
+def near_terms(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entity, term, docs, of_entity) of terms near an entity, and their places (key, entity, term).
 
     Near is within ``CONTEXT`` code points of one of its spans, words cut by that limit
     left out.  ``docs`` counts documents with the pair, ``of_entity`` those with the entity.
@@ -102,10 +102,10 @@ def near_terms(found: DataFrame) -> DataFrame:
     whole = F.when(F.col("cut"), F.regexp_replace("before", "^[\\p{L}\\p{N}]+", "")).otherwise(F.col("before"))
     tail = F.when(F.length("after") == CONTEXT, F.regexp_replace("after", "[\\p{L}\\p{N}]+$", "")).otherwise(F.col("after"))
     near = F.concat_ws(" ", whole, tail)
-    joint = (one.select("key", "entity", F.explode(_terms(near)).alias("term")).distinct()
-             .groupBy("entity", "term").agg(F.count(F.lit(1)).alias("docs")))
+    places = store(one.select("key", "entity", F.explode(_terms(near)).alias("term")).distinct())
+    joint = places.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("docs"))
     each = one.select("key", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("of_entity"))
-    return joint.join(each, "entity")
+    return joint.join(each, "entity"), places
 
 
 def _told(docs: Column, of_term: Column, of_entity: Column, n: Column) -> Column:
@@ -117,12 +117,14 @@ def _told(docs: Column, of_term: Column, of_entity: Column, n: Column) -> Column
 
 def disclosing_terms(found: DataFrame, texts: DataFrame, n_texts: int, threshold: float = DISCLOSURE,
                      likely: float = LIKELY) -> DataFrame:
-    """(term, action) of all terms that disclose an entity; stored.
+    """(key, term, action) for every document that holds a term which discloses an entity.
 
     ``found`` has key, text and the base spans, ``texts`` each distinct text once.  A prefix
-    stands for all terms that begin with it: its counts are the sums of theirs.
+    stands for all terms that begin with it: its counts are the sums of theirs.  Texts are
+    searched only for terms that more documents hold than have them near an entity.
     """
-    pairs = store(near_terms(found))
+    pairs, places = near_terms(found)
+    pairs = store(pairs)
     counts = store(texts.select(F.explode(_terms(F.col("text"))).alias("term"))
                    .groupBy("term").agg(F.count(F.lit(1)).alias("of_term"))
                    .join(pairs.select(_prefix(F.col("term")).alias("prefix")).distinct(),
@@ -134,15 +136,22 @@ def disclosing_terms(found: DataFrame, texts: DataFrame, n_texts: int, threshold
     known = pairs.filter(F.col("of_entity") < n)
     own = (known.join(counts, "term")
            .withColumn("told", _told(F.col("docs"), F.col("of_term"), F.col("of_entity"), n))
-           .filter(risky(F.col("told"))).select("term").distinct().withColumn("prefix", _prefix(F.col("term"))))
+           .filter(risky(F.col("told"))).select("term", "of_term").distinct().withColumn("prefix", _prefix(F.col("term"))))
     own = store(own)
     of_prefix = counts.groupBy(_prefix(F.col("term")).alias("prefix")).agg(F.sum("of_term").alias("of_prefix"))
     wide = (known.groupBy("entity", "of_entity", _prefix(F.col("term")).alias("prefix")).agg(F.sum("docs").alias("docs"))
             .join(own.select("prefix").distinct(), "prefix", "left_semi").join(of_prefix, "prefix")
             .filter(risky(_told(F.col("docs"), F.col("of_prefix"), F.col("of_entity"), n)))
             .select("prefix", F.lit(True).alias("told")).distinct())
-    return store(own.join(wide, "prefix", "left").select(
-        "term", F.when(F.col("told"), "remove").otherwise("generalise").alias("action")))
+    told = store(own.join(wide, "prefix", "left").select(
+        "term", "of_term", F.when(F.col("told"), "remove").otherwise("generalise").alias("action")))
+    here = store(join_sized(places.select("key", "term").distinct(), told, "term", "inner", BROADCAST_ROWS))
+    held = here.groupBy("term").agg(F.count(F.lit(1)).alias("near"), F.first("of_term").alias("of_term"),
+                                    F.first("action").alias("action"))
+    abroad = store(held.filter("of_term > near").select("term", "action"))
+    spread = texts.select("key", F.explode(_terms(F.col("text"))).alias("term"))
+    there = join_sized(spread, abroad, "term", "inner", BROADCAST_ROWS)
+    return here.select("key", "term", "action").unionByName(there)
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -159,14 +168,14 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = rows.select("*", *[v.alias(k) for k, v in base_spans(F.col("text")).items()])
     texts, again = distinct_texts(rows)
     n_texts = rows.count() if again.isEmpty() else rows.select("key").distinct().count()
-    risky = disclosing_terms(found, texts, n_texts, threshold)
-    placed = join_sized(texts.select("key", F.explode(_terms(F.col("text"))).alias("term")), risky, "term", "inner",
-                        BROADCAST_ROWS)
+    placed = disclosing_terms(found, texts, n_texts, threshold)
     hits = store(placed.groupBy("key").agg(F.collect_set(F.struct("term", "action")).alias("terms"))
                  .withColumnRenamed("key", "_key"))
     marked = join_sized(found, hits, F.col("key") == F.col("_key"), "left", BROADCAST_ROWS // 10)
     names = F.transform("terms", lambda t: t["term"])
-    spans = find_spans(F.col("text"), TERM, "term", lambda v: F.array_contains(names, F.lower(v)))
+    # Only a row's own terms are looked for, not all words; terms need no escapes.
+    whole = F.concat(F.lit("(?iu)(?<![\\p{L}\\p{N}])(?:"), F.array_join(names, "|"), F.lit(")(?![\\p{L}\\p{N}])"))
+    spans = find_spans(F.col("text"), whole, "term", lambda v: F.array_contains(names, F.lower(v)))
     actions = F.map_from_entries("terms")
     acted = F.transform(apart(spans, F.concat(*KINDS)), lambda s: F.struct(
         s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"),

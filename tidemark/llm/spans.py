@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 CHUNK = 256
 
 
-def find_spans(text: Column, pattern: str, kind: str,
+def find_spans(text: Column, pattern: str | Column, kind: str,
                keep: Callable[[Column], Column] | None = None,
                group: int = 0) -> Column:
     """Leftmost matches as array<struct<kind, start, end, value>>, in code points.
@@ -19,10 +19,11 @@ def find_spans(text: Column, pattern: str, kind: str,
     summed in turn place every match.  ``value`` is the given group; ``keep`` takes a
     span's ``value`` and drops it where false.  Sums run over chunks of matches first,
     so that a text with very many matches isn't copied once per match.
-    ``pattern`` must not match the empty string.
+    ``pattern`` must not match the empty string; it may be a column, a pattern for each row.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    found = F.regexp_extract_all(text, pattern, F.lit(0))
+    value = F.regexp_extract_all(text, pattern, F.lit(group)) if group else found
     gap = F.slice(F.split(text, pattern, -1), 1, F.size(found))
     parts = F.arrays_zip(gap.alias("gap"), found.alias("found"), value.alias("value"))
     last = ((F.size(found) - 1) / CHUNK).cast("int")
