@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import stat
 from ..functions.times import HOUR_MICROS, int_div, micros_between, shift_micros
-from ..session import settle
 from .order_stats import spread_median, spread_mode
 from .sweep import sweep, with_chunk
 
@@ -215,9 +214,8 @@ def segment_features(long: DataFrame, entity: Sequence[str], channel: str, ts: s
     known = long.filter(F.col(channel).isin(list(channels)))
     if "_last_ts" not in long.columns:
         known = with_span(known, entity, ts, chunk_hours)
-    # Read three times: as members, for the limits, and at the limits.
-    known = settle(known.select(*entity, channel, *([series] if series else []), ts, value,
-                                "_first_ts", "_last_ts"))
+    # Read three times, as members, for the limits and at the limits: Spark shuffles it once.
+    known = known.select(*entity, channel, *([series] if series else []), ts, value, "_first_ts", "_last_ts")
     members = segment_members(known, entity, channel, ts, value, seg_hours, max_segments, series)
     per_channel = segment_stats(members, entity, channel, value, stats, spread, mode_decimals)
     return widen_stats(per_channel, entity, channel, channels, stats)

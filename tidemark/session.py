@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -29,16 +32,27 @@ def build_session(app: str = "tidemark", master: str | None = None,
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Where none is set, a folder in the warehouse, which all executors share as well.
+    Where none is set, a folder in the warehouse.  On a cluster a warehouse in the local file
+    system is refused, since executors wouldn't see each other's files there.
     """
-    current = (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-               or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared")
+    current = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not current:
+        current = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+        root = spark._jvm.org.apache.hadoop.fs.Path(current)
+        scheme = root.getFileSystem(spark._jsc.hadoopConfiguration()).getUri().getScheme()
+        if scheme == "file" and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(current)
     return current
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Compute once, store in the shared folder and cut the lineage there."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Compute once, store as Parquet in the shared folder and cut the lineage there.
+
+    Readers take only the columns they need.  The files stay until the folder is cleared.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
