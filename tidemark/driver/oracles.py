@@ -499,6 +499,25 @@ UNION ALL SELECT user_id, 'product', ts, {r6('b * v')} FROM both_""",
     "channel_series": """
 SELECT user_id, ts, avg(value) AS value FROM events WHERE event_type = 'click'
 GROUP BY user_id, ts""",
+    "series_order": """
+SELECT user_id, ts, avg(value) AS value, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS position
+FROM events WHERE event_type = 'click' AND user_id IS NOT NULL AND ts IS NOT NULL GROUP BY user_id, ts""",
+    "table_schema": "SELECT user_id, event_type, ts, value FROM events LIMIT 0",
+    "read_inputs": """
+SELECT user_id AS subject_id, ts AS charttime, length(event_type) AS itemid, value AS valuenum, 'chart' AS source FROM events
+UNION ALL
+SELECT user_id, ts, length(event_type), value, 'lab' FROM events WHERE value > 10""",
+    "stored_features": f"""WITH {MEANS}
+SELECT {KEYS}, {', '.join(f'{r6(n)} AS {n}' for n in MEAN_NAMES)} FROM features""",
+    "stored_means": f"""WITH {MEANS}
+SELECT {KEYS}, {', '.join(
+        f'{r6(f"coalesce({n}, (SELECT avg({n}) FROM features))")} AS {n}' for n in MEAN_NAMES)}
+FROM features WHERE label <= {NEAR // 2}""",
+    "renamed_channels": """
+SELECT user_id, max(value) FILTER (event_type = 'error') AS error, max(value) FILTER (event_type = 'purchase') AS purchase,
+  coalesce(max(value) FILTER (event_type = 'click'), max(value) FILTER (event_type = 'view')) AS pulse,
+  max(value) FILTER (event_type = 'signup') AS "left"
+FROM events GROUP BY user_id""",
     "markers": "SELECT user_id, min(ts) AS first_ts, max(ts) AS last_ts FROM events GROUP BY user_id",
     "channels": """
 SELECT user_id, string_agg(event_type, ',' ORDER BY event_type) AS channels

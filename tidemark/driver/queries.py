@@ -24,7 +24,7 @@ from ..operators.first_value import first_value_pivot, with_bmi
 from ..operators.nearest import best_event_per_entity, nearest_end_events, repeated_keys
 from ..operators.order_stats import spread_median, spread_mode
 from ..operators.rules import (Bounds, Conversion, LabelRule, Match, Repair, Units, fixed_flags,
-                               keep_valid, label_channels, status_flags)
+                               keep_valid, label_channels, rename_channels, status_flags)
 from ..operators.segments import nearest_snap, segment_features, segment_limits
 from ..plans import tables as tb
 from ..plans.chart import chart_data, stay_channels
@@ -323,6 +323,11 @@ def channel_series(spark, sf):
     return sr.channel_series(events(spark, sf), "user_id", *LONG, wanted="click")
 
 
+def series_order(spark, sf):
+    """The series with the place of each point in its user's time order."""
+    return sr.in_time_order(channel_series(spark, sf), "user_id", "ts")
+
+
 def markers(spark, sf):
     return sr.series_markers(events(spark, sf), "user_id", "ts")
 
@@ -651,6 +656,50 @@ def ensure_table(spark, sf):
     return st.ensure_table(spark, name, lambda: event_flags(spark, sf))
 
 
+def table_schema(spark, sf):
+    """Columns of a stored table, without rows."""
+    name = f"tidemark_schema_{uuid.uuid4().hex}"
+    st.ensure_table(spark, name, lambda: long_events(spark, sf), path=f"{shared_dir(spark)}/tables/{name}")
+    return st.empty_like(spark, name)
+
+
+def read_inputs(spark, sf):
+    """Charted and lab inputs stored under their declared schemas and read as inputs."""
+    folder = f"{shared_dir(spark)}/inputs/{uuid.uuid4().hex}"
+    rows = events(spark, sf).select(
+        F.col("user_id").alias("subject_id"), F.col("event_id").alias("hadm_id"), F.col("event_id").alias("icustay_id"),
+        F.col("ts").cast("timestamp_ntz").alias("charttime"), F.length("event_type").cast("bigint").alias("itemid"),
+        F.col("event_type").alias("value"), F.col("value").alias("valuenum"), F.lit(0).alias("error"))
+    rows.write.parquet(f"{folder}/chartevents")
+    rows.filter("valuenum > 10").select("subject_id", "charttime", "itemid", "valuenum").write.parquet(f"{folder}/labevents")
+    charted = st.read_input(spark, "chartevents", f"{folder}/chartevents")
+    labs = st.read_input(spark, "labevents", f"{folder}/labevents")
+    return charted.select("subject_id", "charttime", "itemid", "valuenum", F.lit("chart").alias("source")).unionByName(
+        labs.withColumn("source", F.lit("lab")))
+
+
+def stored_features(spark, sf):
+    """Features written by training and read by another run."""
+    path = f"{shared_dir(spark)}/features/{uuid.uuid4().hex}"
+    st.save_table(_mean_features(spark, sf), path)
+    return _rounded(st.load_table(spark, path), MEAN_NAMES)
+
+
+def stored_means(spark, sf):
+    """Means written by training; scoring aligns and fills its segments by them."""
+    path = f"{shared_dir(spark)}/means/{uuid.uuid4().hex}"
+    features = settle(_mean_features(spark, sf))
+    st.save_table(ft.population_mean(features, MEAN_NAMES), path)
+    near = ft.nearest_segments(features, cfg.TOTAL_HOURS / 2, cfg.SEG_HOURS)
+    return _rounded(ft.align_and_fill(near, FEATURE_KEYS, MEAN_NAMES, st.load_table(spark, path)), MEAN_NAMES)
+
+
+def renamed_channels(spark, sf):
+    """Wide channels under new names, several sources of one name in order of priority."""
+    wide = events(spark, sf).groupBy("user_id").pivot("event_type", cfg.CHANNELS).agg(F.max("value"))
+    return rename_channels(wide, {"pulse": ("click", "view"), "left": ("signup",), "none": ("absent",)})
+
+
 def cached(spark, sf):
     folder = f"{shared_dir(spark)}/cache/{uuid.uuid4().hex}"
     params = {"gap": cfg.GAP_HOURS, "sf": sf}
@@ -718,6 +767,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "channel_sum": channel_sum,
     "channel_ratio": channel_ratio,
     "channel_series": channel_series,
+    "series_order": series_order,
     "markers": markers,
     "channels": channels,
     "segments": segments,
@@ -748,6 +798,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "record_lookup": record_lookup,
     "param_sql": param_sql,
     "ensure_table": ensure_table,
+    "table_schema": table_schema,
+    "read_inputs": read_inputs,
+    "stored_features": stored_features,
+    "stored_means": stored_means,
+    "renamed_channels": renamed_channels,
     "cached": cached,
     "one_user": one_user,
     "bucket_store": bucket_store,

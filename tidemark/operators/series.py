@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .sweep import CHUNK, POS, anchors, with_chunk
+from .sweep import CHUNK, POS, anchors, sweep, with_chunk
 
 _WORD = 62  # channels per presence word; a bigint holds 63 usable bits
 
@@ -187,6 +187,17 @@ def channel_series(long: DataFrame, entity: str, channel: str, ts: str, value: s
         F.avg(value).alias(value), *([F.max(unit).alias(unit)] if unit else []))
 
 
+def in_time_order(series: DataFrame, entity: str, ts: str, position: str = "position",
+                  chunk_hours: float = 24.0) -> DataFrame:
+    """The series with each point's place in its entity's time order, from 1.
+
+    A place survives storing and joining, which an order of rows doesn't.  Times must be
+    unique within an entity; points without entity or time drop out.
+    """
+    placed = with_chunk(series, ts, chunk_hours)
+    return sweep(placed, [entity], [ts], position=position).drop(CHUNK)
+
+
 def series_markers(df: DataFrame, entity: str, ts: str, first: str = "first_ts",
                    last: str = "last_ts") -> DataFrame:
     """First and last time of each entity."""
