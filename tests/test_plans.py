@@ -4,13 +4,15 @@ import os
 import re
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tidemark.driver import queries as q
 from tidemark.driver import settings as cfg
-from tidemark.operators.sweep import CHUNK, with_chunk
+from tidemark.operators.sweep import CHUNK, sweep, with_chunk
 from tidemark.plans import tables as tb
+from tidemark.sources import tables as st
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -86,3 +88,16 @@ def test_a_long_entity_is_split(spark):
     chunks = with_chunk(hot, "ts", 24).groupBy("user_id", CHUNK).count()
     total, largest = chunks.agg(F.sum("count"), F.max("count")).first()
     assert chunks.count() >= 28 and largest < total / 10
+
+
+def test_clustered_rows_need_no_exchange(spark, no_broadcast, tmp_path):
+    rows = st.write_clustered(q.long_events(spark, SF), "clustered_rows", str(tmp_path / "rows"), q.USER, "ts", buckets=4)
+    own = Window.partitionBy("user_id", CHUNK).orderBy("ts")
+    plan = plan_of(rows.withColumn("n", F.row_number().over(own)))
+    assert "Window" in plan and "Exchange" not in plan
+    assert "Exchange" not in plan_of(rows.groupBy("user_id", CHUNK).agg(F.max("value").alias("v")))
+    assert "Exchange" not in plan_of(rows.join(rows.groupBy("user_id", CHUNK).count(), ["user_id", CHUNK]))
+    # A sweep shuffles its summaries, one row for each chunk, never the rows.
+    swept = final_plan(sweep(rows, q.USER, ["ts"], position="at"))
+    for below in re.findall(r"Exchange[^\n]*\n([^\n]*)", swept):
+        assert "FileScan" not in below

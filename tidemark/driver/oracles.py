@@ -628,6 +628,9 @@ GROUP BY user_id""",
     "ensure_table": f"WITH {FLAGS} SELECT * FROM flags",
     "cached": "SELECT user_id, min(ts) AS first_ts, max(ts) AS last_ts FROM events GROUP BY user_id",
     "one_user": f"SELECT user_id, event_type, ts, value FROM events WHERE user_id = {cfg.ONE_USER}",
+    "clustered_store": """
+SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS position
+FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL""",
     "bucket_store": "SELECT user_id, event_type, ts, value FROM events",
     "item_dimension": """
 SELECT p_partkey AS itemid, p_name || ', ' || p_type AS label, p_brand AS LEVEL1,

@@ -26,6 +26,7 @@ from ..operators.order_stats import spread_median, spread_mode
 from ..operators.rules import (Bounds, Conversion, LabelRule, Match, Repair, Units, fixed_flags,
                                keep_valid, label_channels, rename_channels, status_flags)
 from ..operators.segments import nearest_snap, segment_features, segment_limits
+from ..operators.sweep import sweep
 from ..plans import tables as tb
 from ..plans.chart import chart_data, stay_channels
 from ..plans.cohort import body_measures, ventilation_status
@@ -719,6 +720,14 @@ def bucket_store(spark, sf):
     return spark.read.parquet(path).select("user_id", *LONG)
 
 
+def clustered_store(spark, sf):
+    """Positions in time order, swept over a table that is clustered for it."""
+    name = f"tidemark_clustered_{uuid.uuid4().hex}"
+    rows = st.write_clustered(events(spark, sf).select("event_id", "user_id", "ts"), name,
+                              f"{shared_dir(spark)}/tables/{name}", USER, "ts", buckets=8)
+    return sweep(rows, USER, ["ts", "event_id"], position="position").select("event_id", "user_id", "position")
+
+
 def item_dimension(spark, sf):
     """Parts written as CSV in the item layout and read back with its schema."""
     path = f"{shared_dir(spark)}/items/{uuid.uuid4().hex}"
@@ -806,6 +815,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cached": cached,
     "one_user": one_user,
     "bucket_store": bucket_store,
+    "clustered_store": clustered_store,
     "item_dimension": item_dimension,
     "hours_between": hours_between,
 }

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema as schemas
+from ..operators.sweep import CHUNK, with_chunk
 
 Build = Callable[[], DataFrame]
 
@@ -166,6 +167,21 @@ def read_entity(spark: SparkSession, path: str, entity: str, value, buckets: int
         (F.col("bucket") == bucket_of(typed, buckets)) & (F.col(entity) == typed)).drop("bucket")
 
 
+def write_clustered(df: DataFrame, name: str, path: str, entity: Sequence[str], ts: str,
+                    chunk_hours: float = 24.0, buckets: int = 64) -> DataFrame:
+    """A table bucketed by entity and time chunk and sorted by time in its buckets; read back.
+
+    Windows, aggregates and joins by entity and chunk, as in ``operators.sweep``, then need
+    no shuffle of these rows, however often they are read.  An entity is spread over the
+    buckets by its chunks.  The rows are shuffled once here; ``buckets`` sets their tasks.
+    """
+    keys = [*entity, CHUNK]
+    rows = with_chunk(df, ts, chunk_hours).repartition(buckets, *keys)
+    (rows.write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys, ts)
+     .option("path", path).saveAsTable(name))
+    return df.sparkSession.table(name)
+
+
 def save_table(df: DataFrame, path: str) -> None:
     """Store a feature or means table."""
     df.write.mode("overwrite").parquet(path)
