@@ -140,3 +140,15 @@ def test_spread_statistics_are_the_same(spark):
     for p, q in zip(plain, spread, strict=True):
         for x, y in zip(p, q, strict=True):
             assert x == y or x == pytest.approx(y, rel=1e-12)
+
+
+@pytest.mark.parametrize("limit", [0, 15, 10**6])
+def test_large_segments_alone_are_spread(spark, limit):
+    rng = random.Random(10)
+    data = [(k, c, at(h / 9), rng.choice([-3.0, 0.0, 2.25, 2.25, 7.0, rng.random()]))
+            for k in range(2) for c in "ab" for h in range(rng.randint(2, 90))]
+    plain = sorted(features(spark, data, 3, ["a", "b"]).collect())
+    sized = sorted(features(spark, data, 3, ["a", "b"], spread_over=limit).collect())
+    for p, q in zip(plain, sized, strict=True):
+        for x, y in zip(p, q, strict=True):
+            assert x == y or x == pytest.approx(y, rel=1e-12)

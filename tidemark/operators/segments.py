@@ -165,15 +165,26 @@ def segment_members(spanned: DataFrame, entity: Sequence[str], channel: str, ts:
 
 def segment_stats(members: DataFrame, entity: Sequence[str], channel: str, value: str,
                   stats: Sequence[str], spread: bool = False,
-                  mode_decimals: int | None = None) -> DataFrame:
+                  mode_decimals: int | None = None, spread_over: int | None = None) -> DataFrame:
     """Long statistics: one row per (entity, label, channel).
 
     The built-in median and mode keep a segment's distinct values in memory, which
     suits charted data.  Where one segment can exceed a task, ``spread`` computes
-    both, equally exact, without gathering a group.  ``mode_decimals`` rounds values
-    before the mode, for interpolated ones that differ in their last bits.
+    both, equally exact, without gathering a group.  With ``spread_over``, segments are
+    counted once and only those of more rows than that are spread, in the same plan.
+    ``mode_decimals`` rounds values before the mode, for interpolated ones that differ in
+    their last bits.
     """
     keys = [*entity, "label", "seg_start_time", "seg_end_time", channel]
+    if spread_over is not None and not spread:
+        large = (members.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > spread_over)
+                 .select(*[F.col(k).alias(f"_k_{k}") for k in keys]))
+        same = F.lit(True)
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+        parts = [segment_stats(members.join(large, same, how), entity, channel, value, stats, how == "left_semi", mode_decimals)
+                 for how in ("left_anti", "left_semi")]
+        return parts[0].unionByName(parts[1])
     apart = {"median": spread_median, "mode": spread_mode} if spread else {}
     of = {s: F.round(value, mode_decimals) if s == "mode" and mode_decimals is not None
           else F.col(value) for s in stats}
@@ -205,7 +216,8 @@ def segment_features(long: DataFrame, entity: Sequence[str], channel: str, ts: s
                      channels: Sequence[str], seg_hours: float = 3.0,
                      stats: Sequence[str] = ("mean",), max_segments: int | None = None,
                      series: str | None = None, chunk_hours: float = 24.0,
-                     spread: bool = False, mode_decimals: int | None = None) -> DataFrame:
+                     spread: bool = False, mode_decimals: int | None = None,
+                     spread_over: int | None = None) -> DataFrame:
     """Wide feature table, one row per (entity, segment).
 
     ``long`` may already carry ``_first_ts`` and ``_last_ts``; otherwise they are
@@ -217,5 +229,5 @@ def segment_features(long: DataFrame, entity: Sequence[str], channel: str, ts: s
     # Read three times, as members, for the limits and at the limits: Spark shuffles it once.
     known = known.select(*entity, channel, *([series] if series else []), ts, value, "_first_ts", "_last_ts")
     members = segment_members(known, entity, channel, ts, value, seg_hours, max_segments, series)
-    per_channel = segment_stats(members, entity, channel, value, stats, spread, mode_decimals)
+    per_channel = segment_stats(members, entity, channel, value, stats, spread, mode_decimals, spread_over)
     return widen_stats(per_channel, entity, channel, channels, stats)
