@@ -93,16 +93,17 @@ def near_terms(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     Near is within ``CONTEXT`` code points of one of its spans, words cut by that limit
     left out.  ``docs`` counts documents with the pair, ``of_entity`` those with the entity.
     """
-    one = store(found.select("key", F.explode(F.concat(*KINDS)).alias("s"), "text")
-                .select("key", _entity(F.col("s")).alias("entity"),
-                        F.substring("text", F.greatest(F.col("s.start") - CONTEXT, F.lit(0)) + 1,
-                                    F.least(F.col("s.start"), F.lit(CONTEXT))).alias("before"),
-                        F.substring("text", F.col("s.end") + 1, F.lit(CONTEXT)).alias("after"),
-                        (F.col("s.start") > CONTEXT).alias("cut")))
+    one = (found.select("key", F.explode(F.concat(*KINDS)).alias("s"), "text")
+           .select("key", _entity(F.col("s")).alias("entity"),
+                   F.substring("text", F.greatest(F.col("s.start") - CONTEXT, F.lit(0)) + 1,
+                               F.least(F.col("s.start"), F.lit(CONTEXT))).alias("before"),
+                   F.substring("text", F.col("s.end") + 1, F.lit(CONTEXT)).alias("after"),
+                   (F.col("s.start") > CONTEXT).alias("cut")))
     whole = F.when(F.col("cut"), F.regexp_replace("before", "^[\\p{L}\\p{N}]+", "")).otherwise(F.col("before"))
     tail = F.when(F.length("after") == CONTEXT, F.regexp_replace("after", "[\\p{L}\\p{N}]+$", "")).otherwise(F.col("after"))
     near = F.concat_ws(" ", whole, tail)
-    places = store(one.select("key", "entity", F.explode(_terms(near)).alias("term")).distinct())
+    one = store(one.select("key", "entity", _terms(near).alias("terms")))
+    places = one.select("key", "entity", F.explode("terms").alias("term")).distinct()
     joint = places.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("docs"))
     each = one.select("key", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("of_entity"))
     return joint.join(each, "entity"), places
@@ -124,11 +125,11 @@ def disclosing_terms(found: DataFrame, texts: DataFrame, n_texts: int, threshold
     searched only for terms that more documents hold than have them near an entity.
     """
     pairs, places = near_terms(found)
-    pairs = store(pairs)
-    counts = store(texts.select(F.explode(_terms(F.col("text"))).alias("term"))
-                   .groupBy("term").agg(F.count(F.lit(1)).alias("of_term"))
-                   .join(pairs.select(_prefix(F.col("term")).alias("prefix")).distinct(),
-                         _prefix(F.col("term")) == F.col("prefix"), "left_semi"))
+    # No more prefixes than triples of characters, so this side is broadcast as a rule.
+    prefixes = store(pairs.select(_prefix(F.col("term")).alias("prefix")).distinct())
+    every = (texts.select(F.explode(_terms(F.col("text"))).alias("term"))
+             .groupBy("term").agg(F.count(F.lit(1)).alias("of_term")).withColumn("prefix", _prefix(F.col("term"))))
+    counts = store(join_sized(every, prefixes, "prefix", "left_semi", BROADCAST_ROWS).select("term", "of_term"))
     n = F.lit(float(max(n_texts, 1)))
 
     def risky(t: Column) -> Column:
@@ -137,7 +138,6 @@ def disclosing_terms(found: DataFrame, texts: DataFrame, n_texts: int, threshold
     own = (known.join(counts, "term")
            .withColumn("told", _told(F.col("docs"), F.col("of_term"), F.col("of_entity"), n))
            .filter(risky(F.col("told"))).select("term", "of_term").distinct().withColumn("prefix", _prefix(F.col("term"))))
-    own = store(own)
     of_prefix = counts.groupBy(_prefix(F.col("term")).alias("prefix")).agg(F.sum("of_term").alias("of_prefix"))
     wide = (known.groupBy("entity", "of_entity", _prefix(F.col("term")).alias("prefix")).agg(F.sum("docs").alias("docs"))
             .join(own.select("prefix").distinct(), "prefix", "left_semi").join(of_prefix, "prefix")
@@ -145,7 +145,7 @@ def disclosing_terms(found: DataFrame, texts: DataFrame, n_texts: int, threshold
             .select("prefix", F.lit(True).alias("told")).distinct())
     told = store(own.join(wide, "prefix", "left").select(
         "term", "of_term", F.when(F.col("told"), "remove").otherwise("generalise").alias("action")))
-    here = store(join_sized(places.select("key", "term").distinct(), told, "term", "inner", BROADCAST_ROWS))
+    here = join_sized(places.select("key", "term").distinct(), told, "term", "inner", BROADCAST_ROWS)
     held = here.groupBy("term").agg(F.count(F.lit(1)).alias("near"), F.first("of_term").alias("of_term"),
                                     F.first("action").alias("action"))
     abroad = store(held.filter("of_term > near").select("term", "action"))
