@@ -255,6 +255,36 @@ def test_decontamination_in_blocks(spark, make, monkeypatch):
     assert got == [(i, i) for i in range(40)]
 
 
+def test_short_items_amid_unknown_words(spark, make, monkeypatch):
+    """Whole copies of items of 5 to 16 words are found whatever stands around them."""
+    rng = np.random.default_rng(37)
+    sizes = (5, 6, 7, 8, 10, 12, 14, 16)
+    items = [(100 * n + k, prose(n, rng)) for n in sizes for k in range(12)]
+    # Half of the copies' words are common ones, which weigh little.
+    common = ["the", "of", "and", "to", "in", "is", "that", "for"]
+    for at in range(0, len(items), 2):
+        i, t = items[at]
+        words = t.split()
+        words[::2] = rng.choice(common, len(words[::2]))
+        items[at] = (i, " ".join(words))
+    benchmark = spark.createDataFrame(items, "item_id int, text string")
+
+    def rare(n):
+        return " ".join("".join(rng.choice(list("qrstuvwxyz"), 9)) for _ in range(n))
+    rows = [(i, f"{rare(int(rng.integers(30, 90)))} {t} {rare(40)}") for i, t in items]
+    rows += [(9000 + k, f"{rare(60)} {' '.join(rng.choice(common, 20))} {rare(9)}") for k in range(200)]
+    docs = make(rows)
+    got = {(r["id"], r["item_id"]) for r in decontaminate.contaminated(docs, benchmark).collect()}
+    for n in sizes:
+        assert sum((i, i) in got for i, _ in items if i // 100 == n) >= 0.95 * 12
+    assert not [g for g in got if g[0] >= 9000]
+    monkeypatch.setattr(decontaminate, "ITEM_BLOCK", 16)
+    assert {(r["id"], r["item_id"]) for r in decontaminate.contaminated(docs, benchmark).collect()} == got
+    # A table of one document weighs its words, too.
+    one = decontaminate.contaminated(make(rows[:1]), benchmark).collect()
+    assert (rows[0][0], items[0][0]) in {(r["id"], r["item_id"]) for r in one}
+
+
 def entropy(weights):
     w = np.array(weights, float) / sum(weights)
     return -(w * np.log(w)).sum()

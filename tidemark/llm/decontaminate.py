@@ -39,7 +39,8 @@ def _feature(hashes: np.ndarray) -> np.ndarray:
 
 
 def inverse_frequencies(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """log((N + 1) / (df + 1)) of every hashed word over all documents.
+    """log(1 + (N + 1) / (df + 1)) of every hashed word over all documents; never zero, so that
+    a table of one document, or a word in all of them, weighs something.
 
     The driver gets one number per hash bucket at most (``FEATURES``).
     """
@@ -63,7 +64,7 @@ def inverse_frequencies(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     rows = n[place < 0].sum()
     df = np.zeros(FEATURES)
     df[place[place >= 0]] = n[place >= 0]
-    return np.log((rows + 1.0) / (df + 1.0)).astype(np.float32)
+    return np.log1p((rows + 1.0) / (df + 1.0)).astype(np.float32)
 
 
 def passage_bounds(first: np.ndarray, n_words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -94,7 +95,10 @@ class Latent:
     """Benchmark items in the latent space.
 
     ``column`` maps a feature to its row of ``basis`` (-1: not in the benchmark);
-    ``passages`` are the items' passages there, ``floor`` the least product that counts.
+    ``passages`` are the items' passages there, of TF-IDF length ``length`` before they were
+    scaled to 1, ``floor`` the product of a copy.  ``reach`` is the largest share of any one
+    passage's weight that a feature makes up: what a stretch of words reaches in sum bounds
+    its share of every passage.
     """
 
     idf: np.ndarray
@@ -102,13 +106,15 @@ class Latent:
     basis: np.ndarray
     passages: np.ndarray
     item_of: np.ndarray
+    length: np.ndarray
     floor: np.ndarray
+    reach: np.ndarray
     ids: list
     words: list[np.ndarray]
 
 
-def _matrix(words: list[np.ndarray], idf: np.ndarray, column: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Dense TF-IDF rows of the items' passages, of length 1, and their items."""
+def _matrix(words: list[np.ndarray], idf: np.ndarray, column: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Dense TF-IDF rows of the items' passages, of length 1, their items and former lengths."""
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     first = np.cumsum(sizes) - sizes
     flat = np.concatenate(words) if words else np.zeros(0, np.uint64)
@@ -117,8 +123,8 @@ def _matrix(words: list[np.ndarray], idf: np.ndarray, column: np.ndarray, width:
     feature = _feature(flat)
     for i, (a, b) in enumerate(zip(lo, hi)):
         np.add.at(out[i], column[feature[a:b]], idf[feature[a:b]])
-    norm = np.linalg.norm(out, axis=1, keepdims=True)
-    return out / np.maximum(norm, 1e-12), owner
+    norm = np.maximum(np.linalg.norm(out, axis=1), 1e-12)
+    return out / norm[:, None], owner, norm
 
 
 def _summed(items: DataFrame, part, shape: tuple[int, int]) -> np.ndarray:
@@ -147,7 +153,10 @@ def fit(items: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int = 7) -> L
     column = np.full(FEATURES, -1, np.int32)
     column[features] = np.arange(len(features))
     width = len(features)
-    passages, item_of = _matrix(words, idf, column, width)
+    passages, item_of, length = _matrix(words, idf, column, width)
+    reach = np.zeros(FEATURES, np.float32)
+    if len(passages):
+        reach[features] = (passages ** 2).max(axis=0)
     rank = max(1, min(rank, width, len(passages)))
     test = np.linalg.qr(np.random.default_rng(seed).standard_normal(
         (width, min(width, rank + EXTRA)), np.float32))[0]
@@ -168,7 +177,7 @@ def fit(items: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int = 7) -> L
     basis = (test @ vector[:, np.argsort(-value)[:rank]]).astype(np.float32)
     inside = passages @ basis
     # A copy of a passage reaches the square of its own length in the space.
-    return Latent(idf, column, basis, inside, item_of, (inside ** 2).sum(axis=1), ids, words)
+    return Latent(idf, column, basis, inside, item_of, length, np.maximum((inside ** 2).sum(axis=1), 1e-12), reach, ids, words)
 
 
 def _hits(block: Block, model: Latent, min_share: float, min_cosine: float, min_common: float):
@@ -181,9 +190,9 @@ def _hits(block: Block, model: Latent, min_share: float, min_cosine: float, min_
     if not len(owner):
         return {}
     total = np.concatenate([[0.0], np.cumsum(weight)])
-    inside = np.concatenate([[0.0], np.cumsum(np.where(known >= 0, weight, 0.0))])
+    reached = np.concatenate([[0.0], np.cumsum(model.reach[feature], dtype=np.float64)])
     energy = total[hi] - total[lo]
-    near = np.flatnonzero((inside[hi] - inside[lo] >= min_share * energy) & (energy > 0))
+    near = np.flatnonzero(reached[hi] - reached[lo] >= min_share)
     regions: dict[tuple[int, int], list[list]] = {}
     for at in range(0, len(near), 2048):
         some = near[at:at + 2048]
@@ -192,8 +201,9 @@ def _hits(block: Block, model: Latent, min_share: float, min_cosine: float, min_
         row = known[flat]
         vectors = model.basis[np.maximum(row, 0)] * np.where(row >= 0, model.idf[feature[flat]], 0)[:, None]
         latent = np.add.reduceat(vectors, np.cumsum(sizes) - sizes, axis=0)
-        latent /= np.sqrt(energy[some])[:, None].astype(np.float32)
-        cosine = (latent @ model.passages.T) / model.floor[None, :]
+        # What a stretch holds besides a shorter item isn't held against it.
+        shorter = np.minimum(np.sqrt(energy[some])[:, None].astype(np.float32), model.length[None, :])
+        cosine = (latent @ model.passages.T) / (shorter * model.floor[None, :])
         for i, j in zip(*np.nonzero(cosine >= min_cosine)):
             text, item = int(owner[some[i]]), int(model.item_of[j])
             size = len(model.words[item])
@@ -225,10 +235,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                  min_common: float = MIN_COMMON) -> DataFrame:
     """(id, key, item_id, cosine, common, answer): documents that hold a benchmark item.
 
-    ``cosine`` is relative to a copy of the item's passage; ``common`` and ``answer`` are
-    shares of the item's words, and of its last five, found in order near the passage.
-    A passage is looked at if its words of the benchmark's vocabulary carry the share
-    ``min_share`` of its weight.  Items under five words (after ASCII punctuation) hold
+    ``cosine`` is relative to a copy of the item's passage, and the document's passage counts
+    as no longer than the item's, so that a short item may stand amid any words (it may pass
+    1 there); ``common`` and ``answer`` are shares of the item's words, and of its last five,
+    found in order near the passage.  A passage is looked at unless its words make up less
+    than ``min_share`` of the weight of every passage of the benchmark.  Items under five words (after ASCII punctuation) hold
     too little to tell and give no row, nor do NULL and empty texts; repeated rows are
     reported each.  Items are taken in blocks of about ``ITEM_BLOCK``, each against all
     documents, so a larger benchmark needs no more memory.
