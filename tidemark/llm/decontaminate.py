@@ -28,6 +28,7 @@ EXTRA = 16
 MIN_ITEM = 5
 ITEM_BLOCK = 1024
 MIN_SHARE = 0.4
+REACH_GROUPS = 64
 MIN_COSINE = 0.5
 MIN_COMMON = 0.8
 ANSWER_WORDS = 5
@@ -96,9 +97,10 @@ class Latent:
 
     ``column`` maps a feature to its row of ``basis`` (-1: not in the benchmark);
     ``passages`` are the items' passages there, of TF-IDF length ``length`` before they were
-    scaled to 1, ``floor`` the product of a copy.  ``reach`` is the largest share of any one
-    passage's weight that a feature makes up: what a stretch of words reaches in sum bounds
-    its share of every passage.
+    scaled to 1, ``floor`` the product of a copy.  ``shares`` holds, for every passage,
+    the share of its weight that each of its features makes up.  ``reach`` is the largest of
+    these within each of some groups of passages: what a stretch of words reaches in sum
+    bounds its share of every passage of the group.
     """
 
     idf: np.ndarray
@@ -109,6 +111,7 @@ class Latent:
     length: np.ndarray
     floor: np.ndarray
     reach: np.ndarray
+    shares: list[dict[int, float]]
     ids: list
     words: list[np.ndarray]
 
@@ -154,9 +157,14 @@ def fit(items: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int = 7) -> L
     column[features] = np.arange(len(features))
     width = len(features)
     passages, item_of, length = _matrix(words, idf, column, width)
-    reach = np.zeros(FEATURES, np.float32)
-    if len(passages):
-        reach[features] = (passages ** 2).max(axis=0)
+    groups = np.array_split(passages, max(1, min(REACH_GROUPS, -(-len(passages) // 2))))
+    # The last place is for words that no item has.
+    reach = np.zeros((width + 1, len(groups)), np.float32)
+    for nth, group in enumerate(groups):
+        if len(group):
+            reach[:width, nth] = (group ** 2).max(axis=0)
+    shares = [dict(zip(features[at].tolist(), (row[at] ** 2).tolist()))
+              for row in passages for at in [np.flatnonzero(row)]]
     rank = max(1, min(rank, width, len(passages)))
     test = np.linalg.qr(np.random.default_rng(seed).standard_normal(
         (width, min(width, rank + EXTRA)), np.float32))[0]
@@ -177,7 +185,8 @@ def fit(items: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int = 7) -> L
     basis = (test @ vector[:, np.argsort(-value)[:rank]]).astype(np.float32)
     inside = passages @ basis
     # A copy of a passage reaches the square of its own length in the space.
-    return Latent(idf, column, basis, inside, item_of, length, np.maximum((inside ** 2).sum(axis=1), 1e-12), reach, ids, words)
+    return Latent(idf, column, basis, inside, item_of, length, np.maximum((inside ** 2).sum(axis=1), 1e-12), reach,
+                  shares, ids, words)
 
 
 def _hits(block: Block, model: Latent, min_share: float, min_cosine: float, min_common: float):
@@ -190,9 +199,21 @@ def _hits(block: Block, model: Latent, min_share: float, min_cosine: float, min_
     if not len(owner):
         return {}
     total = np.concatenate([[0.0], np.cumsum(weight)])
-    reached = np.concatenate([[0.0], np.cumsum(model.reach[feature], dtype=np.float64)])
     energy = total[hi] - total[lo]
-    near = np.flatnonzero(reached[hi] - reached[lo] >= min_share)
+    # Words are summed between the passages' bounds first; every word is in a passage.
+    bounds, at = np.unique(np.concatenate([lo, hi]), return_inverse=True)
+    begin, end = at[:len(lo)], at[len(lo):]
+    place = np.where(known >= 0, known, len(model.reach) - 1)
+    summed = np.zeros((len(bounds), model.reach.shape[1]))
+    for at in range(0, len(bounds) - 1, 2048):
+        cuts = bounds[at:min(at + 2049, len(bounds))]
+        summed[at + 1:at + len(cuts)] = np.add.reduceat(model.reach[place[cuts[0]:cuts[-1]]], cuts[:-1] - cuts[0], axis=0)
+    np.cumsum(summed, axis=0, out=summed)
+    reaching = np.zeros(len(owner), bool)
+    for at in range(0, len(owner), 2048):
+        some = slice(at, at + 2048)
+        reaching[some] = (summed[end[some]] - summed[begin[some]] >= min_share - 1e-6).any(axis=1)
+    near = np.flatnonzero(reaching)
     regions: dict[tuple[int, int], list[list]] = {}
     for at in range(0, len(near), 2048):
         some = near[at:at + 2048]
@@ -205,6 +226,10 @@ def _hits(block: Block, model: Latent, min_share: float, min_cosine: float, min_
         shorter = np.minimum(np.sqrt(energy[some])[:, None].astype(np.float32), model.length[None, :])
         cosine = (latent @ model.passages.T) / (shorter * model.floor[None, :])
         for i, j in zip(*np.nonzero(cosine >= min_cosine)):
+            here = set(feature[lo[some[i]]:hi[some[i]]].tolist())
+            # A hair's breadth for sums of rounded shares.
+            if sum(s for f, s in model.shares[j].items() if f in here) < min_share - 1e-6:
+                continue
             text, item = int(owner[some[i]]), int(model.item_of[j])
             size = len(model.words[item])
             # The item may lie anywhere around the passage; regions that touch are one.
