@@ -255,6 +255,30 @@ def test_decontamination_in_blocks(spark, make, monkeypatch):
     assert got == [(i, i) for i in range(40)]
 
 
+def test_candidates_by_shares(spark):
+    """No passage with the share is lost; repeated words don't make a stretch a candidate."""
+    rng = np.random.default_rng(41)
+    texts = [prose(int(n), rng) for n in rng.integers(5, 60, 30)]
+    items = spark.createDataFrame([(i, Block([t.encode()], PUNCTUATION).word_hashes().tobytes()) for i, t in enumerate(texts)],
+                                  "id int, words binary")
+    model = decontaminate.fit(items, rng.uniform(0.5, 9, decontaminate.FEATURES).astype(np.float32))
+    words = [t.split() for t in texts]
+    docs = [" ".join(sum((w[:int(rng.integers(0, len(w)))] for w in rng.permutation(np.array(words, object))[:6]), []))
+            for _ in range(40)]
+    docs += [" ".join([w[at]] * 200) for w in words[:8] for at in (0, -1)]
+    block = Block([d.encode() for d in docs], PUNCTUATION)
+    feature = decontaminate._feature(block.word_hashes())
+    owner, lo, hi = decontaminate.passage_bounds(block.first[:-1], block.n_words)
+    shares = np.array([[sum(s for f, s in own.items() if f in here) for own in model.shares]
+                       for here in (set(feature[a:b].tolist()) for a, b in zip(lo, hi))])
+    for least in (0.0, 0.2, decontaminate.MIN_SHARE, 0.9):
+        index = decontaminate.ShareIndex(model, least)
+        got = [p for i, j in index.pairs(model.column[feature], lo, hi) for p in zip(i.tolist(), j.tolist())]
+        assert got == sorted(set(got)) and {tuple(p) for p in np.argwhere(shares >= least).tolist()} <= set(got)
+        # What is left out of the index is all that an inexact candidate may lack.
+        assert all(shares[p] >= least / 2 - 1e-6 for p in got)
+
+
 def test_short_items_amid_unknown_words(spark, make, monkeypatch):
     """Whole copies of items of 5 to 16 words are found whatever stands around them."""
     rng = np.random.default_rng(37)

@@ -28,7 +28,7 @@ EXTRA = 16
 MIN_ITEM = 5
 ITEM_BLOCK = 1024
 MIN_SHARE = 0.4
-REACH_GROUPS = 64
+PAIRS = 1 << 20
 MIN_COSINE = 0.5
 MIN_COMMON = 0.8
 ANSWER_WORDS = 5
@@ -98,9 +98,7 @@ class Latent:
     ``column`` maps a feature to its row of ``basis`` (-1: not in the benchmark);
     ``passages`` are the items' passages there, of TF-IDF length ``length`` before they were
     scaled to 1, ``floor`` the product of a copy.  ``shares`` holds, for every passage,
-    the share of its weight that each of its features makes up.  ``reach`` is the largest of
-    these within each of some groups of passages: what a stretch of words reaches in sum
-    bounds its share of every passage of the group.
+    the share of its weight that each of its features makes up.
     """
 
     idf: np.ndarray
@@ -110,7 +108,6 @@ class Latent:
     item_of: np.ndarray
     length: np.ndarray
     floor: np.ndarray
-    reach: np.ndarray
     shares: list[dict[int, float]]
     ids: list
     words: list[np.ndarray]
@@ -157,12 +154,6 @@ def fit(items: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int = 7) -> L
     column[features] = np.arange(len(features))
     width = len(features)
     passages, item_of, length = _matrix(words, idf, column, width)
-    groups = np.array_split(passages, max(1, min(REACH_GROUPS, -(-len(passages) // 2))))
-    # The last place is for words that no item has.
-    reach = np.zeros((width + 1, len(groups)), np.float32)
-    for nth, group in enumerate(groups):
-        if len(group):
-            reach[:width, nth] = (group ** 2).max(axis=0)
     shares = [dict(zip(features[at].tolist(), (row[at] ** 2).tolist()))
               for row in passages for at in [np.flatnonzero(row)]]
     rank = max(1, min(rank, width, len(passages)))
@@ -185,11 +176,74 @@ def fit(items: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int = 7) -> L
     basis = (test @ vector[:, np.argsort(-value)[:rank]]).astype(np.float32)
     inside = passages @ basis
     # A copy of a passage reaches the square of its own length in the space.
-    return Latent(idf, column, basis, inside, item_of, length, np.maximum((inside ** 2).sum(axis=1), 1e-12), reach,
+    return Latent(idf, column, basis, inside, item_of, length, np.maximum((inside ** 2).sum(axis=1), 1e-12),
                   shares, ids, words)
 
 
-def _hits(block: Block, model: Latent, min_share: float, min_cosine: float, min_common: float):
+class ShareIndex:
+    """Which passages of the benchmark can have ``min_share`` of their weight in a stretch of words?
+
+    Every passage is listed under its features but for its commonest ones, which make up at
+    most half of ``min_share`` (``left``): a stretch without a listed feature can't reach it.
+    """
+
+    def __init__(self, model: Latent, min_share: float):
+        self.least = min_share - 1e-6
+        self.left = np.zeros(len(model.shares))
+        places, owners, parts = [], [], []
+        for nth, own in enumerate(model.shares):
+            feature = np.array(sorted(own, key=lambda f: (model.idf[f], f)), np.int64)
+            part = np.array([own[f] for f in feature.tolist()])
+            out = int((np.cumsum(part) <= min_share / 2).sum())
+            self.left[nth] = part[:out].sum()
+            places.append(model.column[feature[out:]])
+            owners.append(np.full(len(feature) - out, nth))
+            parts.append(part[out:])
+        place = np.concatenate(places) if places else np.zeros(0, np.int64)
+        order = np.argsort(place, kind="stable")
+        self.owner = np.concatenate(owners)[order] if owners else np.zeros(0, np.int64)
+        self.part = np.concatenate(parts)[order] if parts else np.zeros(0)
+        # The last place is for words that no item has.
+        self.n = np.bincount(place, minlength=len(model.basis) + 1)
+        self.first = np.cumsum(self.n) - self.n
+
+    def pairs(self, known: np.ndarray, lo: np.ndarray, hi: np.ndarray):
+        """(stretches, passages) that may agree, in order and in bounded portions.
+
+        ``known`` is each word's row of the basis (-1: none); a repeated word counts once.
+        """
+        if self.least <= 0:
+            for at in range(0, len(lo), 2048):
+                some = np.arange(at, min(at + 2048, len(lo)))
+                yield np.repeat(some, len(self.left)), np.tile(np.arange(len(self.left)), len(some))
+            return
+        listed = np.flatnonzero(self.n[known])
+        place = known[listed]
+        weight = np.concatenate([[0], np.cumsum(self.n[place])])
+        begin, end = np.searchsorted(listed, lo), np.searchsorted(listed, hi)
+        some = np.flatnonzero(end > begin)
+        for a, b in slices((weight[end[some]] - weight[begin[some]]).tolist(), PAIRS):
+            rows = some[a:b]
+            word = _ranges(begin[rows], end[rows] - begin[rows])
+            own = np.unique(np.repeat(rows, end[rows] - begin[rows]) * len(self.n) + place[word])
+            row, feature = np.divmod(own, len(self.n))
+            entry = _ranges(self.first[feature], self.n[feature])
+            key = np.repeat(row, self.n[feature]) * len(self.left) + self.owner[entry]
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            first = np.flatnonzero(np.diff(key, prepend=-1))
+            share = np.add.reduceat(self.part[entry[order]], first)
+            row, passage = np.divmod(key[first], len(self.left))
+            near = share + self.left[passage] >= self.least - 1e-9
+            yield row[near], passage[near]
+
+
+def _ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers from each ``first`` on, ``n`` of them."""
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+def _hits(block: Block, model: Latent, index: ShareIndex, min_cosine: float, min_common: float):
     """{(text, item): (common share, answer share, cosine)} where text and item agree."""
     hashes = block.word_hashes()
     feature = _feature(hashes)
@@ -200,46 +254,38 @@ def _hits(block: Block, model: Latent, min_share: float, min_cosine: float, min_
         return {}
     total = np.concatenate([[0.0], np.cumsum(weight)])
     energy = total[hi] - total[lo]
-    # Words are summed between the passages' bounds first; every word is in a passage.
-    bounds, at = np.unique(np.concatenate([lo, hi]), return_inverse=True)
-    begin, end = at[:len(lo)], at[len(lo):]
-    place = np.where(known >= 0, known, len(model.reach) - 1)
-    summed = np.zeros((len(bounds), model.reach.shape[1]))
-    for at in range(0, len(bounds) - 1, 2048):
-        cuts = bounds[at:min(at + 2049, len(bounds))]
-        summed[at + 1:at + len(cuts)] = np.add.reduceat(model.reach[place[cuts[0]:cuts[-1]]], cuts[:-1] - cuts[0], axis=0)
-    np.cumsum(summed, axis=0, out=summed)
-    reaching = np.zeros(len(owner), bool)
-    for at in range(0, len(owner), 2048):
-        some = slice(at, at + 2048)
-        reaching[some] = (summed[end[some]] - summed[begin[some]] >= min_share - 1e-6).any(axis=1)
-    near = np.flatnonzero(reaching)
     regions: dict[tuple[int, int], list[list]] = {}
-    for at in range(0, len(near), 2048):
-        some = near[at:at + 2048]
-        sizes = hi[some] - lo[some]
-        flat = np.repeat(lo[some] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-        row = known[flat]
-        vectors = model.basis[np.maximum(row, 0)] * np.where(row >= 0, model.idf[feature[flat]], 0)[:, None]
-        latent = np.add.reduceat(vectors, np.cumsum(sizes) - sizes, axis=0)
-        # What a stretch holds besides a shorter item isn't held against it.
-        shorter = np.minimum(np.sqrt(energy[some])[:, None].astype(np.float32), model.length[None, :])
-        cosine = (latent @ model.passages.T) / (shorter * model.floor[None, :])
-        for i, j in zip(*np.nonzero(cosine >= min_cosine)):
-            here = set(feature[lo[some[i]]:hi[some[i]]].tolist())
+    for row, passage in index.pairs(known, lo, hi):
+        some, nth = np.unique(row, return_inverse=True)
+        near = np.zeros(len(row), np.float32)
+        for at in range(0, len(some), 2048):
+            part = some[at:at + 2048]
+            sizes = hi[part] - lo[part]
+            flat = _ranges(lo[part], sizes)
+            column = known[flat]
+            vectors = model.basis[np.maximum(column, 0)] * np.where(column >= 0, model.idf[feature[flat]], 0)[:, None]
+            latent = np.add.reduceat(vectors, np.cumsum(sizes) - sizes, axis=0)
+            # What a stretch holds besides a shorter item isn't held against it.
+            shorter = np.minimum(np.sqrt(energy[part])[:, None].astype(np.float32), model.length[None, :])
+            cosine = (latent @ model.passages.T) / (shorter * model.floor[None, :])
+            own = slice(*np.searchsorted(nth, (at, at + 2048)))
+            near[own] = cosine[nth[own] - at, passage[own]]
+        for at in np.flatnonzero(near >= min_cosine).tolist():
+            i, j = int(row[at]), int(passage[at])
+            here = set(feature[lo[i]:hi[i]].tolist())
             # A hair's breadth for sums of rounded shares.
-            if sum(s for f, s in model.shares[j].items() if f in here) < min_share - 1e-6:
+            if sum(s for f, s in model.shares[j].items() if f in here) < index.least:
                 continue
-            text, item = int(owner[some[i]]), int(model.item_of[j])
+            text, item = int(owner[i]), int(model.item_of[j])
             size = len(model.words[item])
             # The item may lie anywhere around the passage; regions that touch are one.
-            a = max(block.first[text], lo[some[i]] - size)
-            b = min(block.first[text + 1], hi[some[i]] + size)
+            a = max(block.first[text], lo[i] - size)
+            b = min(block.first[text + 1], hi[i] + size)
             own = regions.setdefault((text, item), [])
             if own and a <= own[-1][1]:
-                own[-1][1:] = [max(b, own[-1][1]), max(own[-1][2], float(cosine[i, j]))]
+                own[-1][1:] = [max(b, own[-1][1]), max(own[-1][2], float(near[at]))]
             else:
-                own.append([a, b, float(cosine[i, j])])
+                own.append([a, b, float(near[at])])
     best: dict[tuple[int, int], tuple] = {}
     for pair, own in regions.items():
         item = model.words[pair[1]].tolist()
@@ -300,13 +346,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def _search(model: Latent, kind, min_share: float, min_cosine: float, min_common: float):
+    index = ShareIndex(model, min_share)
+
     def run(batches):
         for batch in batches:
             ids, keys, items, shares = [], [], [], []
             texts = batch.column(2).to_pylist()
             for lo, hi in slices([len(t or b"") for t in texts]) if model.ids else ():
                 block = Block(texts[lo:hi], PUNCTUATION)
-                for (text, item), got in sorted(_hits(block, model, min_share, min_cosine, min_common).items()):
+                for (text, item), got in sorted(_hits(block, model, index, min_cosine, min_common).items()):
                     ids.append(batch.column(0)[lo + text])
                     keys.append(batch.column(1)[lo + text].as_py())
                     items.append(model.ids[item])
