@@ -1,5 +1,6 @@
 """Line templates, near duplicates, decontamination, mixing and the pipeline against plain Python."""
 
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -159,6 +160,28 @@ def test_line_templates(spark, make):
     assert line_templates.drop_recurring(make([])).count() == 0
 
 
+def test_line_hashes():
+    """Lines have one hash exactly if they have the same words, masked words or leaf."""
+    turn = [bin(i).count("1") % 2 for i in range(4096)]
+    texts = [None, "", "\n", "one two  three\tfour\n one two three four ", "one two 3 four\r\none two x9y four\none two <*> four",
+             "one two three fo\u00a0ur\none two three \u0663\none two three\x0bfour", "two one three four", "one two\none two",
+             " ".join("ab"[t] for t in turn) + "\n" + " ".join("ba"[t] for t in turn), "7 " * 9 + "\n" + "8 " * 9, "Café 1é\nCafé 2"]
+
+    def words(line):
+        return tuple(w for w in re.split("[ \t-\r]+", line) if w)
+
+    def masked(line):
+        return tuple("<*>" if re.search("[0-9]", w) else w for w in words(line))
+    want = [(i, at, line) for i, t in enumerate(texts) if t is not None for at, line in enumerate(t.split("\n"))]
+    lines = line_templates.Lines([None if t is None else t.encode() for t in texts], 3)
+    real = np.flatnonzero(lines.real)
+    assert list(zip(lines.text[real].tolist(), lines.at[real].tolist())) == [w[:2] for w in want]
+    assert lines.n_words[real].tolist() == [len(words(line)) for _, _, line in want]
+    for got, plain in ((lines.words, words), (lines.masked, masked), (lines.leaf, lambda x: (len(words(x)), masked(x)[:3]))):
+        pairs = {(h, plain(line)) for h, (_, _, line) in zip(got[real].tolist(), want)}
+        assert len(pairs) == len({h for h, _ in pairs}) == len({k for _, k in pairs})
+
+
 def passages_by_hand(rows, long_words=20):
     """Places of long lines that stand word for word in two documents: those that go, those that stay."""
     places = defaultdict(list)

@@ -6,16 +6,22 @@ documents is a variable field as well; what remains is the line's template.  Tem
 recur across documents are dropped, but for the first line that shows them.  Long lines
 need no template: one that stands word for word in an earlier document is dropped as well.
 
-Every step is an aggregation or an equi-join on hashes, so neither a leaf nor a template
-has to fit into a task: copies of a line are one row before its words are spread out.
+Texts are cut into lines and words in numpy blocks, where a line gets three hashes: of its
+leaf, of its words and of its words with numbers masked.  All else is an aggregation or an
+equi-join on hashes, so neither a leaf nor a template has to fit into a task: copies of a
+line are one row before its words are spread out.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_sized, store, text_key, words_of
+from .common import Block, join_sized, mix64, slices, store, text_key
 
 DEPTH = 3
 MIN_DOCS = 5
@@ -23,28 +29,83 @@ MIN_WORDS = 5
 LONG_WORDS = 20
 MIN_FIXED = 0.7
 MIN_LEFT = 0.2
-VARIABLE = "<*>"
+VARIABLE = Block([b"<*>"]).word_hashes()[0]
+STEP, SIZE = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 BROADCAST_ROWS = 200_000
 
 
-def _masked(word: Column) -> Column:
-    return F.when(word.rlike("[0-9]"), VARIABLE).otherwise(word)
+class Lines:
+    """The lines of several texts and 64-bit hashes of them; a missing text has none.
 
+    ``words`` is a line's words as they are, ``masked`` the same with each word with a digit
+    as ``VARIABLE``, ``leaf`` their number and the first ``depth`` of the latter.
+    """
 
-def _lines(docs: DataFrame, id_col: str, text_col: str, depth: int) -> DataFrame:
-    """(id, key, at, line, words, n_words, leaf) for every line of a text."""
-    words = words_of(F.col("line"))
-    return (docs.select(F.col(id_col).alias("id"), text_key(text_col).alias("key"),
-                        F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("at", "line"))
-            .withColumn("words", words).withColumn("n_words", F.size("words"))
-            .withColumn("leaf", F.xxhash64("n_words", F.transform(F.slice("words", 1, depth),
-                                                                  _masked))))
+    def __init__(self, texts: Sequence[bytes | None], depth: int):
+        block = Block(texts, lower=False)
+        end = np.flatnonzero(block.bytes == 10)
+        own = np.searchsorted(block.ends, end, "right")
+        first = np.searchsorted(block.word_start, np.concatenate([[0], end[:-1] + 1]))
+        self.at = np.arange(len(end)) - np.searchsorted(own, np.arange(len(texts)))[own]
+        self.text, self.first = own, first
+        self.n_words = np.diff(first, append=len(block.word_start))
+        plain = block.word_hashes()
+        digit = np.flatnonzero((block.bytes >= 48) & (block.bytes <= 57))
+        self.word = plain.copy()
+        self.word[np.searchsorted(block.word_start, digit, "right") - 1] = VARIABLE
+        place = np.arange(len(plain)) - np.repeat(first, self.n_words)
+        masked = self._placed(self.word, place)
+        self.words, self.masked = self._line(self._placed(plain, place)), self._line(masked)
+        self.leaf = self._line(np.where(place < depth, masked, np.uint64(0)))
+        self.real = np.array([t is not None for t in texts], bool)[own]
+
+    @staticmethod
+    def _placed(word: np.ndarray, place: np.ndarray) -> np.ndarray:
+        return mix64(word + (place + 1).astype(np.uint64) * STEP)
+
+    def _line(self, placed: np.ndarray) -> np.ndarray:
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(placed)])
+        n = self.n_words
+        return mix64(sums[self.first + n] - sums[self.first] + n.astype(np.uint64) * SIZE).view(np.int64)
+
+
+def _blocks(batches, column: int, depth: int):
+    """(batch, first row, lines) block by block; ``column`` holds the texts."""
+    for batch in batches:
+        texts = batch.column(column).to_pylist()
+        for lo, hi in slices([len(t or b"") for t in texts]):
+            yield batch, lo, Lines(texts[lo:hi], depth)
 
 
-def _line_hash() -> Column:
-    # A word is masked whole; only word starts are tried, so long words cost no more.
-    mask = F.regexp_replace(F.array_join("words", " "), "(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", VARIABLE)
-    return F.xxhash64("n_words", mask)
+def _lines(docs: DataFrame, id_col: str, text_col: str, depth: int) -> DataFrame:
+    """(id, key, at, n_words, leaf, hash, words) for every line of a text; hashes as in ``Lines``."""
+    rows = docs.select(F.col(id_col).alias("id"), text_key(text_col).alias("key"), F.col(text_col).cast("binary").alias("text"))
+
+    def cut(batches):
+        for batch, lo, lines in _blocks(batches, 2, depth):
+            real = np.flatnonzero(lines.real)
+            row = pa.array(lines.text[real] + lo)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(row), batch.column(1).take(row), pa.array(lines.at[real], pa.int32()),
+                 pa.array(lines.n_words[real], pa.int32()), *[pa.array(h[real]) for h in (lines.leaf, lines.masked, lines.words)]],
+                names=["id", "key", "at", "n_words", "leaf", "hash", "words"])
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(cut, f"id {kind}, key bigint, at int, n_words int, leaf bigint, hash bigint, words bigint")
+
+
+def _line_words(docs: DataFrame, text_col: str, depth: int, min_words: int) -> DataFrame:
+    """(leaf, hash, words) for every line of ``min_words`` or more: hashes of its words, numbers masked."""
+    def cut(batches):
+        for _, _, lines in _blocks(batches, 0, depth):
+            long = np.flatnonzero(lines.real & (lines.n_words >= min_words))
+            n = lines.n_words[long]
+            ends = np.cumsum(n)
+            at = np.repeat(lines.first[long] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
+            words = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(lines.word[at].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(lines.leaf[long]), pa.array(lines.masked[long]), words],
+                                             names=["leaf", "hash", "words"])
+    return docs.select(F.col(text_col).cast("binary").alias("text")).mapInArrow(
+        cut, "leaf bigint, hash bigint, words array<bigint>")
 
 
 def _place() -> Column:
@@ -81,10 +142,7 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     one document.  The first line that shows a template (by id, NULL last, then text key
     and position) isn't dropped.  NULL texts have no lines.
     """
-    split = _lines(docs, id_col, text_col, depth)
-    exact = F.xxhash64("n_words", F.array_join("words", " "))
-    lines = store(split.select("id", "key", "at", "n_words", "leaf", _line_hash().alias("hash"),
-                               exact.alias("words")))
+    lines = store(_lines(docs, id_col, text_col, depth))
     long = lines.filter(F.col("n_words") >= min_words)
     leaves = store(long.select("leaf", "id", "key").distinct().groupBy("leaf")
                    .agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") >= min_docs)
@@ -92,19 +150,17 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shown = (long.select("leaf", "hash", "id", "key").distinct()
              .groupBy("leaf", "hash").agg(F.count(F.lit(1)).alias("docs")))
     # One row for each distinct line of a leaf that recurs, then one for each of its words.
-    texts = (join_sized(split.filter(F.col("n_words") >= min_words), leaves, "leaf", "left_semi",
-                        BROADCAST_ROWS)
-             .select("leaf", _line_hash().alias("hash"),
-                     F.transform("words", _masked).alias("words"))
+    texts = (join_sized(_line_words(docs, text_col, depth, min_words), leaves, "leaf", "left_semi", BROADCAST_ROWS)
              .groupBy("leaf", "hash").agg(F.first("words").alias("words")))
     spread = store(texts.join(shown, ["leaf", "hash"])
                    .select("leaf", "hash", "docs", F.posexplode("words").alias("at", "word")))
+    variable = F.lit(int(VARIABLE.view(np.int64)))
     support = (spread.groupBy("leaf", "at", "word").agg(F.sum("docs").alias("support"))
-               .filter((F.col("support") >= min_docs) & (F.col("word") != VARIABLE))
+               .filter((F.col("support") >= min_docs) & (F.col("word") != variable))
                .select("leaf", "at", "word", F.lit(True).alias("fixed")))
     # Stored tables on the joins' small sides: a hot key is broadcast, or split by Spark.
     fields = join_sized(spread, store(support), ["leaf", "at", "word"], "left", BROADCAST_ROWS)
-    field = F.when(F.col("fixed"), F.xxhash64("at", "word")).otherwise(F.xxhash64("at", F.lit(VARIABLE)))
+    field = F.when(F.col("fixed"), F.xxhash64("at", "word")).otherwise(F.xxhash64("at", variable))
     templates = (fields.groupBy("leaf", "hash")
                  .agg(F.bit_xor(field).alias("template"), F.count("fixed").alias("fixed"),
                       F.count(F.lit(1)).alias("words"))
