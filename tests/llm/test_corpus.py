@@ -87,6 +87,12 @@ def test_links_lose_nothing(spark):
         assert got == {(a, b) for a in signed for b in signed if a < b and ((a ^ b) % 2**64).bit_count() <= 3}
 
 
+def test_links_never_broadcast_exploded_fingerprints(spark):
+    """Spark sees their size before the explosion, a row for what becomes 4 or 68."""
+    plan = simhash.links(spark.range(1000).withColumnRenamed("id", "fp"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_components(spark):
     rng = np.random.default_rng(4)
     links = [(i, i + 1) for i in range(200)] + [(300, 300 + i) for i in range(1, 100)] + [(5, 5)]

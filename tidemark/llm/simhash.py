@@ -100,7 +100,9 @@ def links(points: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS)
     flip = F.explode(F.lit(flips).cast("array<bigint>"))
     asked = (points.select(F.col("fp").alias("a"), held.alias("h")).select("a", "h.start", "h.chain", flip.alias("flip"))
              .select("a", "start", F.col("chain").bitwiseXOR(F.col("flip")).alias("chain")))
-    pairs = asked.join(stored, ["start", "chain"]).filter("a < b")
+    # Spark takes both sides for as small as their fingerprints before the explosions, and would
+    # broadcast one of them with its 4 or 68 rows for each.
+    pairs = asked.hint("merge").join(stored, ["start", "chain"]).filter("a < b")
     off = F.col("a").bitwiseXOR(F.col("b"))
     near = F.bit_count(off) <= distance
     for length in range(3, segments):
