@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from tidemark.driver import queries as q
 from tidemark.driver import settings as cfg
+from tidemark.operators.segments import segment_members
 from tidemark.operators.sweep import CHUNK, sweep, with_chunk
 from tidemark.plans import tables as tb
 from tidemark.sources import tables as st
@@ -45,6 +46,13 @@ def test_no_cross_join(spark, name):
     assert "Python" not in plan  # everything stays in the JVM
 
 
+def test_rows_at_limits_are_never_broadcast(spark):
+    """Spark takes exploded rows for as few as those they come from."""
+    rows = q.long_events(spark, SF).withColumns({"_first_ts": F.col("ts"), "_last_ts": F.col("ts")})
+    plan = plan_of(segment_members(rows, ["user_id"], "event_type", "ts", "value", 48))
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_filters_and_columns_reach_the_scan(spark):
     plan = plan_of(q.rule_label(spark, SF))
     assert re.search(r"PushedFilters: \[In\(event_type", plan)
